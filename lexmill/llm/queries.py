@@ -17,6 +17,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_model
+
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
