@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trial = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    turns = turns.unionByName(spark.createDataFrame(trial, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(turns))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
