@@ -32,6 +32,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_model
 
