@@ -71,6 +71,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Letters lower-cased, ASCII punctuation as white space.
+BARE = _LOWER.copy()
+BARE[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -113,10 +118,12 @@ class Words:
     data: the bytes, one newline after each text; start, end: each word's span; doc: the text that
     holds it; first[i]:first[i + 1]: the words of text i."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, table: np.ndarray | None = None):
+        """table: what each byte is read as, before words are told apart."""
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        raw = raw if table is None else table[raw]
         self.raw = raw
-        self.data = _LOWER[raw] if lower else raw
+        self.data = _LOWER[raw] if lower and table is None else raw
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_end = np.cumsum(lens + 1)
         solid = ~_SPACE[raw]

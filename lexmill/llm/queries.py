@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
@@ -45,12 +46,25 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches
+
+    return matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import url_filter
 
     return url_filter(read_table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    made = warc.derivatives(warc.from_pages(read_table(spark, sf_dir, "pages")))
+    return made.withColumn("text", F.when(F.col("record_type") == "conversion", F.col("block").cast("string"))).drop("block")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
