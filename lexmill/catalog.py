@@ -1,19 +1,233 @@
-"""The engine's own queries by name, and their SQL."""
+"""The engine's own queries by name. Each takes (spark, sf_dir), runs over whole tables and returns a
+DataFrame; oracles.py has the same as SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import analysis, postings, search, snippets
+from .operators.fuzzy import fuzzy_lookup, word_query
+from .oracles import ORACLES
+from .sources import corpus, dump
+from .sources.scratch import new_folder, saved
+from .sources.store import create_store, store_stats as stats_of
+from .streaming.ingest import ingest
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.analyse_ascii(corpus.documents(spark, sf_dir))
+
+
+def _index(docs: DataFrame) -> search.Index:
+    """An index whose tables are written once."""
+    made = search.Index.build(docs)
+    posts = saved(made.postings)
+    analysed = analysis.analyse_ascii(docs)
+    arts = saved(made.articles.select("doc", "title_words", "title_terms", "size", "maxf"))
+    keys = saved(postings.vocabulary(posts, postings.dictionary(analysed)))
+    return search.Index(arts, posts, keys, postings.corpus_stats(arts))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[search.Index, search.Ranking]:
+    index = _index(corpus.documents(spark, sf_dir))
+    return index, search.search(corpus.benchmark_queries(spark, sf_dir), index)
+
+
+def _query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query_words(corpus.benchmark_queries(spark, sf_dir)).select("word").distinct()
+
+
+def _flat(posts: DataFrame) -> DataFrame:
+    return posts.select("term", "doc", F.col("tf").cast("long").alias("tf"), F.concat_ws(",", F.col("positions").cast("array<string>")).alias("positions"))
+
+
+def article_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dump's filters; one source stands for another namespace."""
+    rows = corpus.table(spark, sf_dir, "documents")
+    ns = F.when(F.col("source") == "src1", "1").otherwise("0")
+    return rows.filter(dump.is_article(ns, F.col("text"))).select("doc_id")
+
+
+def tokens_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.token_rows(_analysed(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+
+
+def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(postings.postings(_analysed(spark, sf_dir)))
+
+
+def postings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built in two batches and merged on read."""
+    docs = corpus.documents(spark, sf_dir)
+    half = F.pmod(F.xxhash64("doc"), F.lit(2))
+    parts = [postings.postings(analysis.analyse_ascii(docs.filter(half == k))) for k in (0, 1)]
+    return _flat(postings.merge_postings(*parts))
+
+
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a file stream, fed into a store batch by batch."""
+    rows = corpus.table(spark, sf_dir, "documents")
+    # As a pattern, the path may be a file or a folder.
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/documents.parque[t]")
+    store = create_store(spark, new_folder(spark), overwrite=True)
+    ingest(corpus.from_documents(stream), store, new_folder(spark)).awaitTermination()
+    return _flat(store.postings())
+
+
+def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arts = postings.articles(_analysed(spark, sf_dir))
+    return arts.select("doc", F.col("size").cast("long").alias("size"), F.col("maxf").cast("long").alias("maxf"))
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.corpus_stats(postings.articles(_analysed(spark, sf_dir)))
+
+
+def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analysed = _analysed(spark, sf_dir)
+    keys = postings.vocabulary(postings.token_rows(analysed), postings.dictionary(analysed))
+    return keys.select("term", F.length("term").cast("long").alias("term_len"), F.reverse("term").alias("term_rev"))
+
+
+def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.dictionary(_analysed(spark, sf_dir))
+
+
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analysed = _analysed(spark, sf_dir)
+    df = postings.document_frequency(postings.postings(analysed), postings.corpus_stats(postings.articles(analysed)))
+    return df.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+
+
+def term_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = postings.postings(_analysed(spark, sf_dir))
+    found = _query_words(spark, sf_dir).join(posts, F.col("word") == F.col("term"))
+    return found.select("word", "doc", F.col("tf").cast("long").alias("tf"))
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab_distinct(spark, sf_dir).select("term")
+
+
+def keys_only_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lookup(_query_words(spark, sf_dir), _vocabulary(spark, sf_dir), 0)
+
+
+def _long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query_words(spark, sf_dir).filter(analysis.is_good(F.col("word")))
+
+
+def fuzzy_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lookup(_long_words(spark, sf_dir), _vocabulary(spark, sf_dir), 1)
+
+
+def fuzzy_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lookup(_long_words(spark, sf_dir), _vocabulary(spark, sf_dir), 2)
+
+
+def word_query_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """limit and offset: of each word's keys the second to the fourth."""
+    return word_query(_long_words(spark, sf_dir), _vocabulary(spark, sf_dir), None, 1, limit=3, offset=1).select("word", "term", "exact_total")
+
+
+def spell_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.correct(_query_words(spark, sf_dir), saved(_vocabulary(spark, sf_dir)))
+    return found.select("word", F.concat_ws(" ", "alternatives").alias("alternatives"), "corrected")
+
+
+def query_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _found(spark, sf_dir)[1]
+    return found.sets.select("query_id", F.concat_ws(" ", "terms").alias("terms"))
+
+
+def bool_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir)[1].matched
+
+
+def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, r = _found(spark, sf_dir)
+    scores = search.text_scores(r.hits, r.matched, index.articles, index.stats)
+    return scores.select("query_id", "doc", F.round("text_score", 6).alias("text_score"), "n_keys")
+
+
+def title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, r = _found(spark, sf_dir)
+    boosts = search.title_boosts(r.words, r.corrected, r.hits, r.matched, index.articles)
+    return boosts.select("query_id", "doc", F.round("boost_words", 6).alias("boost_words"), F.round("boost_keys", 6).alias("boost_keys"))
+
+
+def _long_rank(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("rank", F.col("rank").cast("long"))
 
 
 def ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship: the ten best documents for every benchmark item as a query."""
+    index = _index(corpus.documents(spark, sf_dir))
+    return _long_rank(search.search(corpus.benchmark_queries(spark, sf_dir), index, top=10).scores)
+
+
+PAGE_QUERIES = [(1, "the ration"), (2, "En licence"), (3, "example"), (4, "exmaple track")]
+
+
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of results over web pages, with misspelt queries."""
+    queries = spark.createDataFrame(PAGE_QUERIES, "query_id int, text string").withColumn("query_id", F.col("query_id").cast("long"))
+    found = search.search(queries, _index(corpus.pages(spark, sf_dir)), top=10, skip=10).scores
+    return _long_rank(found).withColumn("query_id", F.col("query_id").cast("int"))
+
+
+def _positions(r: search.Ranking) -> DataFrame:
+    return r.hits.join(r.matched, ["query_id", "doc"]).select("query_id", "doc", F.explode("positions").alias("pos"))
+
+
+def snippet_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = snippets.islands(_positions(_found(spark, sf_dir)[1]))
+    numbers = [F.col(c).cast("long").alias(c) for c in ("part", "start", "end")]
+    return found.select("query_id", "doc", *numbers, F.concat_ws(",", F.col("hits").cast("array<string>")).alias("hits"))
+
+
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats_of(_index(corpus.documents(spark, sf_dir)))
+
+
+# --- not in SQL: the full English analyser ------------------------------------------------------
+
+
+def wiki_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup, references and tags out of whole web pages, by the wiki cleaner."""
+    rows = corpus.table(spark, sf_dir, "pages")
+    return rows.select("page_id", dump.unwiki(F.col("html")).alias("text"))
+
+
+def english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, pos, term: Treebank words, stop list and stemmer."""
+    return postings.token_rows(analysis.analyse_english(corpus.documents(spark, sf_dir)))
+
+
+def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked search with snippets over a store that the full analyser has filled."""
+    store = create_store(spark, new_folder(spark), analyser="english")
+    store.feed(analysis.analyse_english(corpus.documents(spark, sf_dir)))
+    index = store.index()
+    index.vocabulary = saved(index.vocabulary)
+    r = search.search(corpus.benchmark_queries(spark, sf_dir), index, top=10)
+    shown = snippets.snippets(_positions(r), index.articles)
+    return r.scores.join(shown, ["query_id", "doc"]).select("query_id", "doc", "score", "rank", "display_title", "parts")
+
+
+_NAMES = [
+    *ORACLES,
+    "wiki_clean",
+    "english_terms",
+    "english_search",
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: globals()[name] for name in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
