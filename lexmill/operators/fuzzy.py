@@ -32,7 +32,10 @@ def fuzzy_lookup(words: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
 
     words: column word; vocabulary: column term. Nulls find nothing; equal rows count once."""
     words = words.select("word").filter("word is not null").distinct()
-    keys = vocabulary.select("term").filter("term is not null").distinct()
+    # Each key is multiplied by its remainders: the keys are spread first, over a stated number of
+    # partitions, as so small an input would otherwise be joined in one task.
+    n = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = vocabulary.select("term").filter("term is not null").repartition(n, "term").distinct()
     if k == 0:
         return words.join(keys, F.col("word") == F.col("term")).select("word", "term")
     sides = probes(words, k).select("word", "probe", "budget", F.explode(deletions(F.col("probe"), k)).alias("rest"))
