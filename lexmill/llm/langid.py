@@ -76,10 +76,14 @@ class LanguageModel:
             total = np.zeros((len(part), len(self.langs)))
             count = np.zeros(len(part))
             for size in SIZES:
+                # Only n-grams within a text and its two spaces: neighbours in a batch don't matter.
                 at = subwords(data, size)
+                n = np.maximum(lens + 3 - size, 0)
+                bounds = np.minimum(np.stack([start, start + n], axis=1).ravel(), len(at))
                 for k in range(len(self.langs)):
-                    total[:, k] += np.add.reduceat(self.logits[:, k][at].astype(np.float64), np.minimum(start, len(at) - 1))
-                count += np.diff(np.append(np.minimum(start, len(at)), len(at)))
+                    values = np.append(self.logits[:, k][at].astype(np.float64), 0.0)
+                    total[:, k] += np.where(n > 0, np.add.reduceat(values, bounds)[::2], 0.0)
+                count += n
             out[first:end] = total / np.maximum(count, 1)[:, None] + self.bias
         return out
 
@@ -154,7 +158,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, span: int = SPAN) -> Language
     room = F.greatest(F.lit(1), F.length("text") - span)
     place = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), room.cast("long")).cast("int") + 1
     got = sample.select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(span)).alias("text")).toPandas()
-    got = got[got["text"].map(lambda t: bool(_LETTER.search(t)))].sort_values(["doc_id", "text"])
+    got = got.loc[np.array([bool(_LETTER.search(t)) for t in got["text"]], bool)].sort_values(["doc_id", "text"])
     if not len(got):
         return None
     return train(got["text"].tolist(), got["lang"].tolist())
