@@ -284,5 +284,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def distinct(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns, of one document of each group (the smallest id)."""
-    gone = components(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    gone = components(docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
