@@ -192,7 +192,7 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats_of(_index(corpus.documents(spark, sf_dir)))
 
 
-# --- not in SQL: the full English analyser ------------------------------------------------------
+# --- not in SQL: the full English analyser ---
 
 
 def wiki_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

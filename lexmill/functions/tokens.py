@@ -32,7 +32,7 @@ _STEPS = [
     (re.compile(r"--"), " -- "),
 ]
 _QUOTES = re.compile(r"(``|''|\")")
-_CLITICS = [re.compile(r"(?<=[^' ])('[sSmMdD]|') "), re.compile(r"(?<=[^' ])('ll|'re|'ve|n't) "), re.compile(r"(?<=[^' ])('LL|'RE|'VE|N'T) ")]
+_CLITICS = [re.compile(r"(?<=[^' ])('[sSmMdD]|') "), re.compile(r"(?<=[^' ])(n't|'(?:re|ve|ll)) "), re.compile(r"(?<=[^' ])(N'T|'(?:RE|VE|LL)) ")]
 _FUSED = re.compile(
     r"\b(?:(can)(not)|(d)('ye)|(gim)(me)|(gon)(na)|(got)(ta)|(lem)(me)|(more)('n)|(wan)(na))(?=\s)|(?<=\s)(?:('t)(is)|('t)(was))\b",
     re.I | A,

@@ -43,7 +43,7 @@ def test_normalise():
     "raw, want",
     [
         ("a {{x|{{y}}}} b", "a b"),
-        ("{| t |} after", "after"),
+        ("x {| t |} after", "x after"),
         ("[[bar|baz]]s and [[foo]] [[File:x.png]]", "bazs and foo "),
         ("[http://x label] [http://y]", "label [http://y]"),
         ("'''bold''' ''it''", 'bold "it"'),
