@@ -34,7 +34,7 @@ OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 Turn = tuple[str, str]
 
 
-# --- schema fingerprints ---------------------------------------------------------------------
+# --- schema fingerprints ---
 
 
 def field_paths(value: object, at: str = "") -> set[str]:
@@ -158,7 +158,7 @@ def canonical_turns(records: DataFrame, column: str = "record", mappings: tuple[
     return rows.mapInPandas(run, "conv_id long, fingerprint string, layout string, turns array<struct<role: string, text: string>>")
 
 
-# --- the template ----------------------------------------------------------------------------
+# --- the template ---
 
 
 def escape(text: str, control: tuple[str, ...] = CONTROL) -> str:

@@ -139,7 +139,7 @@ def parse(html: str) -> Node:
     return top
 
 
-# --- wrappers --------------------------------------------------------------------------------
+# --- wrappers ---
 # A group is [label, quantifier, children]; a slot is ["#", quantifier, []].
 
 
@@ -259,7 +259,7 @@ def wrapper_text(items: list) -> str:
     return " ".join(("" if x[0].startswith("~") else x[0]) + (f"({wrapper_text(x[2])})" if x[2] else "") + x[1] for x in items)
 
 
-# --- where a host's text is ------------------------------------------------------------------
+# --- where a host's text is ---
 
 
 def masses(top: Node) -> dict[str, list[int]]:
@@ -353,7 +353,7 @@ def main_text(html: str | None, path: str | None) -> str:
     return "\n".join(x for region in found for x in blocks(region))
 
 
-# --- over a table ----------------------------------------------------------------------------
+# --- over a table ---
 
 WRAPPER_ROWS = 100_000  # hosts whose main paths may be sent to every task; beyond, they are joined
 FOLD_SALTS = 32

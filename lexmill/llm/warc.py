@@ -225,7 +225,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     return records.filter(F.col("record_type") == "response").select(*need).mapInPandas(run, RECORD)
 
 
-# --- files -----------------------------------------------------------------------------------
+# --- files ---
 
 
 def read_records(data: bytes) -> Iterator[tuple]:

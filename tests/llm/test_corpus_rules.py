@@ -16,7 +16,7 @@ PT = pytest.importorskip("public_tokenizers")
 PATH = PT.path("byte_bpe_50k.json")
 
 
-# --- quality rules ---------------------------------------------------------------------------
+# --- quality rules ---
 
 
 def counts(text):
@@ -91,7 +91,7 @@ def test_small_groups_are_pooled(spark):
     assert len(got) == 5 and got["en", "b"] == got["en", None] != got["en", "a"] and got["de", "a"] == got[None, None] == "*"
 
 
-# --- decontamination -------------------------------------------------------------------------
+# --- decontamination ---
 
 ITEMS = [(1, prose(500, 40)), (2, prose(501, 20)), (3, "lone"), (4, None), (5, ""), (2, prose(501, 20)), (None, prose(502, 30))]
 
@@ -171,7 +171,7 @@ def test_items_in_blocks(spark, odd, benchmark):
     assert found == {(0, 1), (1, None)}
 
 
-# --- packing ---------------------------------------------------------------------------------
+# --- packing ---
 
 
 def test_ids_equal_the_tokenizers_own():
@@ -232,7 +232,7 @@ def test_packing_odd_documents(odd, none, monkeypatch, salt_rows):
     assert P.pack(none, PATH).isEmpty()
 
 
-# --- the pipeline ----------------------------------------------------------------------------
+# --- the pipeline ---
 
 
 def test_pipeline(spark, tmp_path):
