@@ -29,15 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000  # rows of an Arrow batch where each holds a text or two
+
+
+def materialise(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and a lost
-    executor costs nothing but its running tasks."""
+    executor costs nothing but its running tasks. batch_rows: rows of an Arrow batch meanwhile."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(_BATCH_ROWS, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has `most` rows or fewer; else joined as any table. For tables of
+    numbers and short names that are written already, so that counting costs nothing."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +78,7 @@ def bounded_sample(df: DataFrame, label: str, per_label: int) -> DataFrame:
     return df.filter(keep)
 
 
-# --- words as hashes -------------------------------------------------------------------------
+# --- words as hashes ---
 
 CHUNK = 1 << 21
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)

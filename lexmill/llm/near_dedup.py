@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, materialise, mix, shingle_hashes, text_chunks
+from .common import TEXT_ROWS, Words, batches, materialise, mix, shingle_hashes, text_chunks
 
 SHINGLE = 5
 THRESHOLD = 70  # per cent
@@ -251,7 +251,7 @@ def links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     # First round: each document's likeliest and smallest partner.
     per = pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"), F.min("b").alias("least"))
     first = materialise(per.select("a", F.explode(F.array_distinct(F.array("best.b", "least"))).alias("b")), "first")
-    edges = materialise(verified(first, docs), "verified")
+    edges = materialise(verified(first, docs), "verified", TEXT_ROWS)
     roots = connect(edges)
     # Second round: what isn't connected by then.
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
@@ -261,13 +261,13 @@ def links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     second = materialise(named.filter(apart).select("a", "b"), "second")
     if second.isEmpty():
         return roots
-    more = verified(second, docs)
+    more = materialise(verified(second, docs), "more", TEXT_ROWS)
     return connect(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
-    known = materialise(sketches(docs), "sketches")
+    known = materialise(sketches(docs), "sketches", TEXT_ROWS)
     filled = known.filter("set_a is not null and doc_id is not null")
     sets = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "sets")
     sigs = filled.select("doc_id", "signature").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
