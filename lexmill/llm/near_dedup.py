@@ -111,9 +111,17 @@ def orders(level: int) -> np.ndarray:
     return np.array(rows[:count])
 
 
+def next_values(level: int) -> np.ndarray:
+    """The two signature values that each order of a level is sorted by after its prefix."""
+    rng = np.random.default_rng(2000 + level)
+    return np.array([rng.permutation(np.setdiff1d(np.arange(HASHES), row))[:2] for row in orders(level)])
+
+
 def prefixes(sigs: DataFrame, level: int) -> DataFrame:
-    """region (hash of order and prefix) and doc_id, for every document in every order."""
-    chosen = orders(level)
+    """region (hash of order and prefix) and doc_id, for every document in every order; at the last
+    level also what the order goes on with, so that neighbours within a region can be told."""
+    chosen, last = orders(level), level + 1 == len(LEVELS)
+    after = next_values(level)
     salt = mix(np.arange(len(chosen), dtype=np.uint64) + np.uint64(level << 20))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,9 +133,12 @@ def prefixes(sigs: DataFrame, level: int) -> DataFrame:
                 for k in range(chosen.shape[1]):
                     key = mix(key ^ m[:, chosen[:, k]])
                 ids = np.repeat(pdf["doc_id"].to_numpy(np.int64), len(salt))
-                yield pd.DataFrame({"region": key.ravel().view(np.int64), "doc_id": ids})
+                out = pd.DataFrame({"region": key.ravel().view(np.int64), "doc_id": ids})
+                if last:
+                    out["then"] = ((m[:, after[:, 0]] << np.uint64(31)) ^ m[:, after[:, 1]]).ravel().view(np.int64)
+                yield out
 
-    return sigs.select("doc_id", "signature").mapInPandas(run, "region long, doc_id long")
+    return sigs.select("doc_id", "signature").mapInPandas(run, "region long, doc_id long" + ", then long" * last)
 
 
 def regions(sigs: DataFrame, level: int) -> DataFrame:
@@ -152,7 +163,7 @@ def candidate_pairs(sigs: DataFrame) -> DataFrame:
             active = full.select("doc_id").distinct()
             sigs = materialise(sigs.join(active, "doc_id", "left_semi"), "active")
         else:
-            found.append(neighbours(full.select("region", "doc_id")))
+            found.append(neighbours(full.select("region", "then", "doc_id")))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -160,8 +171,9 @@ def candidate_pairs(sigs: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs of documents next to each other in a region's order. Regions are cut where a range
-    partition ends: every document is paired with its region's first as well."""
+    """Pairs of documents next to each other in a region's order (column `then`, the values after the
+    prefix): longest common prefixes first. Regions are cut where a range partition ends: every
+    document is paired with its region's first as well."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -175,7 +187,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
             held = joined.iloc[-NEIGHBOURS:]
 
-    sorted_rows = rows.repartitionByRange("region", "doc_id").sortWithinPartitions("region", "doc_id")
+    order = ("region", "then", "doc_id")
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return sorted_rows.mapInPandas(run, "a long, b long").filter("a <> b")
 
 
