@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, materialise, shingle_hashes, text_chunks
+from .common import TEXT_ROWS, Words, batches, materialise, shingle_hashes, small_side, text_chunks
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -212,33 +212,34 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     A step keeps the rows within the group's CONCENTRATION quantile of distance; the scatter is
     then scaled so that the median distance is that of a normal law."""
     aggs = [F.percentile_approx(n, 0.5, 1000).alias(f"s_{i}") for i, n in enumerate(_NAMES)]
-    middle = materialise(rows.groupBy("grp").agg(*aggs), "medians")
+    middle = small_side(materialise(rows.groupBy("grp").agg(*aggs), "medians"))
     apart = rows.join(middle, "grp").select("grp", *(F.abs(F.col(n) - F.col(f"s_{i}")).alias(n) for i, n in enumerate(_NAMES)))
     spread = apart.groupBy("grp").agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"d_{i}") for i, n in enumerate(_NAMES)))
     start = middle.join(spread, "grp").withColumn("scale", F.lit(1.0))
     for i, j in _PAIRS:
         start = start.withColumn(f"c_{i}_{j}", F.pow(1.4826 * F.col(f"d_{i}"), 2.0) if i == j else F.lit(0.0))
-    now = materialise(_estimates(start), "estimate")
+    now = small_side(materialise(_estimates(start), "estimate"))
     for _ in range(steps):
         near = rows.join(now, "grp").select("grp", *_NAMES, distance().alias("_d"))
         bound = near.groupBy("grp").agg(F.percentile_approx("_d", F.array(F.lit(0.5), F.lit(CONCENTRATION)), 1000).alias("_q"))
+        bound = small_side(materialise(bound, "bounds"))
         inner = near.join(bound, "grp").filter(F.col("_d") <= F.col("_q")[1])
         moments = inner.groupBy("grp").agg(
             F.first(F.greatest(F.lit(1.0), F.col("_q")[0] / CHI_MEDIAN)).alias("scale"),
             *(F.avg(n).alias(f"s_{i}") for i, n in enumerate(_NAMES)),
             *(F.covar_pop(_NAMES[i], _NAMES[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS),
         )
-        now = materialise(_estimates(moments), "estimate")
+        now = small_side(materialise(_estimates(moments), "estimate"))
     return now
 
 
 def fit(stats: DataFrame) -> DataFrame:
     """The estimate that judges each language and source; stats: with_statistics(), materialised."""
     fine = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    key = materialise(groups(fine), "groups").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "grp")
+    key = small_side(materialise(groups(fine), "groups")).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "grp")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = fine.join(key, same).select("grp", *_NAMES)
-    return key.join(estimate(rows), "grp")
+    return small_side(materialise(key.join(estimate(rows), "grp"), "estimates"))
 
 
 def judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -253,14 +254,14 @@ def judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the squared distance: one row a document."""
-    stats = materialise(with_statistics(docs), "statistics")
+    stats = materialise(with_statistics(docs), "statistics", TEXT_ROWS)
     return judged(stats, fit(stats)).select("doc_id", *COUNTS, "base_failed", "kept", "distance")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns, that the rules keep. Statistics are counted again
     row by row, so that no join on ids is needed and repeated or null ids do no harm."""
-    estimates = fit(materialise(with_statistics(docs), "statistics"))
+    estimates = fit(materialise(with_statistics(docs), "statistics", TEXT_ROWS))
     names = [*COUNTS, *_NAMES]
 
     @F.pandas_udf(STATS)
