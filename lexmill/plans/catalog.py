@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analysis, postings, search, snippets
-from .operators.fuzzy import fuzzy_lookup, word_query
+from ..operators import analysis, postings, search, snippets
+from ..operators.fuzzy import fuzzy_lookup, word_query
 from .oracles import ORACLES
-from .sources import corpus, dump
-from .sources.scratch import new_folder, saved
-from .sources.store import create_store, store_stats as stats_of
-from .streaming.ingest import ingest
+from ..sources import corpus, dump
+from ..sources.scratch import new_folder, saved
+from ..sources.store import create_store, store_stats as stats_of
+from ..streaming.ingest import ingest
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.analyse_ascii(corpus.documents(spark, sf_dir))
