@@ -80,7 +80,7 @@ def bounded_sample(df: DataFrame, label: str, per_label: int) -> DataFrame:
 
 # --- words as hashes ---
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers: list[np.ndarray] = []
