@@ -8,15 +8,19 @@ selection of signature values. In an order, documents with the longest common pr
 neighbours. The depth to which prefixes must agree adapts to the region: it starts shallow (LEVELS),
 where a region of up to REGION documents gives all its pairs. The documents of fuller regions go on
 to the next level: deeper prefixes, in so many more orders that a pair at the threshold is missed
-about as rarely as before (about one in a million). Regions that are still too full at the last
-depth hold documents that are alike nearly throughout; there every document is paired with its
-neighbours in the sorted order and with the region's first, which is linear in its size.
+about as rarely as before (about one in a million). In regions that are still too full at the last
+depth every document is paired with its neighbours in the sorted order and with the region's first,
+which is linear in its size and connects what is alike nearly throughout.
 
 Candidates whose signatures agree too little (five standard errors below the threshold) go. The rest
 are verified on full sets, in two rounds: for each document its likeliest and its smallest partner,
 then those pairs whose ends aren't connected yet. So a group of n copies costs about n comparisons.
 Links are put together by alternating large-star and small-star steps.
 
+Full regions of the last depth whose documents aren't connected by then are searched in full: those
+that share documents make a crowd, and all pairs of a crowd are compared by exact set sizes, in
+square blocks of two buckets each. That is quadratic in the size of such a crowd, and in nothing else.
+
 Defined results: documents without words (or with null text) have an empty set and are alone; rows
 that repeat a doc_id are one document, kept or dropped together; a null doc_id is alone, with null
 component_id, and kept; an empty table gives no rows; extra columns are ignored, or kept by distinct().
@@ -43,6 +47,8 @@ LEVELS = ((2, 20), (4, 48), (7, 160))
 REGION = 32
 SURELY_LESS = 0.5  # share of equal signature values below which a pair can't reach the threshold
 NEIGHBOURS = 2
+BUCKET_DOCS = 2000  # documents and shingles of a crowd's bucket, about; two buckets make a block
+BUCKET_SHINGLES = 2_000_000
 
 _XOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)).astype(np.uint32)
 _MUL = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -149,8 +155,9 @@ def regions(sigs: DataFrame, level: int) -> DataFrame:
     return materialise(rows.join(sizes, "region"), "regions")
 
 
-def candidate_pairs(sigs: DataFrame) -> DataFrame:
-    """(a, b), a > b, distinct: pairs of documents to compare."""
+def candidate_pairs(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a > b, distinct: pairs of documents to compare; (region, doc_id, hub) of the regions that
+    are too full at the last depth."""
     found = []
     for level in range(len(LEVELS)):
         held = regions(sigs, level)
@@ -167,7 +174,7 @@ def candidate_pairs(sigs: DataFrame) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    return pairs.distinct(), full.select("region", "doc_id", "hub")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -258,9 +265,106 @@ def connect(edges: DataFrame) -> DataFrame:
         mark = state
 
 
+def crowds(full: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(doc_id, component, crowd) of the documents of full regions that hold several components; None
+    if there are none. Regions that share a document are one crowd."""
+    known = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component"))
+    named = full.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    held = materialise(named.join(mixed.select("region"), "region").select("doc_id", "component", "hub").distinct(), "mixed")
+    if held.isEmpty():
+        return None
+    crowd = connect(held.filter("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    of = crowd.select(F.col("node").alias("doc_id"), F.col("root").alias("crowd"))
+    docs = held.select("doc_id", "component").distinct()
+    return materialise(docs.join(of, "doc_id", "left").withColumn("crowd", F.coalesce("crowd", "doc_id")), "crowds")
+
+
+def crowd_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b), a > b: components of a crowd that are linked by a pair of documents."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches(it):
+            sets = list(sets_of(pdf["text"].tolist()))
+            out = pdf[["crowd", "doc_id", "component"]].copy()
+            out["n"] = [len(s) for s in sets]
+            out["shingles"] = pd.Series([s.tobytes() for s in sets], index=out.index, dtype=object)
+            yield out
+
+    rows = texts.join(members, "doc_id").select("crowd", "doc_id", "component", "text")
+    rows = materialise(rows.mapInPandas(build, "crowd long, doc_id long, component long, n long, shingles binary"), "crowd-sets", TEXT_ROWS)
+    buckets = F.ceil(F.greatest(F.count("*") / BUCKET_DOCS, F.sum("n") / BUCKET_SHINGLES)).cast("int")
+    rows = rows.join(rows.groupBy("crowd").agg(buckets.alias("buckets")), "crowd")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    rows = rows.withColumns({"i": F.least("bucket", "other"), "j": F.greatest("bucket", "other")})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = (pdf["bucket"] == pdf["i"]).to_numpy()
+        x, y = pdf[first], pdf[~first] if (pdf["i"] != pdf["j"]).iloc[0] else pdf
+        found = [np.empty((0, 2), np.int64)]
+        if len(y):
+            theirs = [np.frombuffer(s, np.uint64) for s in y["shingles"]]
+            m, root_y = y["n"].to_numpy(np.int64), y["component"].to_numpy(np.int64)
+            for k in range(0, len(x), 500):
+                part = x.iloc[k : k + 500]
+                n, root = part["n"].to_numpy(np.int64), part["component"].to_numpy(np.int64)
+                both = shared([np.frombuffer(s, np.uint64) for s in part["shingles"]], theirs)
+                alike = (100 * both >= THRESHOLD * (n[:, None] + m - both)) & (root[:, None] != root_y)
+                p, q = np.nonzero(alike)
+                found.append(np.unique(np.sort(np.column_stack([root[p], root_y[q]]), axis=1), axis=0))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": out[:, 1], "b": out[:, 0]})
+
+    return rows.select("crowd", "i", "j", "bucket", "component", "n", "shingles").groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of xs has in common with each of ys. Shingles that many of ys hold
+    are counted by products of 0/1 matrices, the others along their lists of holders."""
+    flat = np.concatenate(ys)
+    holder = np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+    vocabulary, column, held = np.unique(flat, return_inverse=True, return_counts=True)
+    mine = np.concatenate(xs)
+    row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    at = np.minimum(np.searchsorted(vocabulary, mine), len(vocabulary) - 1)
+    ok = vocabulary[at] == mine
+    row, at = row[ok], at[ok]
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    needed = np.zeros(len(vocabulary), bool)
+    needed[at] = True
+    common = needed & (held * 16 > len(ys))
+    place = np.cumsum(common) - 1
+    in_x, in_y = common[at], common[column]
+    px, rx, py, ry = place[at[in_x]], row[in_x], place[column[in_y]], holder[in_y]
+    for k in range(0, int(common.sum()), 2048):
+        mx, my = ((p >= k) & (p < k + 2048) for p in (px, py))
+        left, right = np.zeros((len(xs), 2048), np.float32), np.zeros((len(ys), 2048), np.float32)
+        left[rx[mx], px[mx] - k] = 1
+        right[ry[my], py[my] - k] = 1
+        out += (left @ right.T).astype(np.int64)
+    # The others: entry by entry, a few million at once.
+    by_column = holder[np.argsort(column, kind="stable")]
+    start = np.cumsum(held) - held
+    row, at = row[~in_x], at[~in_x]
+    ends = np.cumsum(held[at])
+    k = 0
+    while k < len(at):
+        done = ends[k - 1] if k else 0
+        end = max(k + 1, int(np.searchsorted(ends, done + (1 << 21), "right")))
+        size = held[at[k:end]]
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        cell = np.repeat(row[k:end], size) * len(ys) + by_column[np.repeat(start[at[k:end]], size) + inside]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+        k = end
+    return out
+
+
 def links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the representatives that are linked with another."""
-    pairs = materialise(likely(candidate_pairs(sigs), sigs), "likely")
+    proposed, full = candidate_pairs(sigs)
+    pairs = materialise(likely(proposed, sigs), "likely")
     # First round: each document's likeliest and smallest partner.
     per = pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"), F.min("b").alias("least"))
     first = materialise(per.select("a", F.explode(F.array_distinct(F.array("best.b", "least"))).alias("b")), "first")
@@ -272,10 +376,18 @@ def links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     named = named.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     second = materialise(named.filter(apart).select("a", "b"), "second")
-    if second.isEmpty():
+    if not second.isEmpty():
+        roots = connect(_as_edges(roots).unionByName(materialise(verified(second, docs), "more", TEXT_ROWS)))
+    # Third round: full regions that hold several components.
+    members = crowds(full, roots)
+    if members is None:
         return roots
-    more = materialise(verified(second, docs), "more", TEXT_ROWS)
-    return connect(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    more = materialise(crowd_links(members, docs), "crowd-links")
+    return roots if more.isEmpty() else connect(_as_edges(roots).unionByName(more))
+
+
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def components(docs: DataFrame) -> DataFrame:

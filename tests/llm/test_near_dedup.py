@@ -116,3 +116,52 @@ def test_neighbours(spark):
     got = {(r.a, r.b) for r in N.neighbours(rows.coalesce(1)).collect()}
     assert {(12, 10), (12, 11), (11, 10), (13, 11), (13, 12)} <= got and all(a // 10 == b // 10 and a > b for a, b in got)
     assert (13, 10) not in got
+
+
+def pool_family(n, rng, clauses=60, words=12):
+    """Texts of random clauses of one pool, each with chance 0.7."""
+    pool = [" ".join(f"c{k}w{j}" for j in range(words)) for k in range(clauses)]
+    return [" ".join(pool[k] for k in range(clauses) if rng.random() < 0.7) for _ in range(n)]
+
+
+def test_families_of_one_pool(spark):
+    """Full regions of different texts: every link is found, whether or not the order shows it."""
+    rows = list(enumerate(pool_family(3000, random.Random(7))))
+    sets = [shingle_set(t) for _, t in rows]
+    place = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    both, size = (m @ m.T).astype(np.int64), np.array([len(s) for s in sets])
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = np.argwhere(np.triu(100 * both >= 70 * (size[:, None] + size - both), 1))
+    for a, b in linked.tolist():
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in N.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(linked) > 100 and got == {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("buckets", [(2000, 2_000_000), (7, 2_000_000)])
+def test_crowd_links(spark, monkeypatch, buckets):
+    monkeypatch.setattr(N, "BUCKET_DOCS", buckets[0])
+    rng = random.Random(2)
+    rows = [(i, edited(prose(i % 6, 80), rng, 0.04)) for i in range(60)] + [(100, "one two"), (101, "ONE  two")]
+    members = spark.createDataFrame([(i, i, 5) for i, _ in rows], "doc_id long, component long, crowd long")
+    got = {(r.a, r.b) for r in N.crowd_links(members, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert got == {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    draw = lambda n, top: [np.unique(rng.integers(0, top, int(rng.integers(1, 60)))).astype(np.uint64) for _ in range(n)]
+    for top in (50, 5000):
+        xs, ys = draw(30, top), draw(70, top)
+        assert N.shared(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
