@@ -11,6 +11,8 @@ every block value within that many bits guarantees all items within the radius.
 by exact weighted Jaccard similarity.
 
 Items go to every task in blocks of a bounded count, one scan of the documents for each block.
+Weights are of all items, whatever the block: shingles that several items hold are counted over the
+whole table and go with every block; any other shingle weighs the same whether one item holds it or none.
 
 Defined results: null and empty texts, and items without a word, match nothing; repeated items each
 match; repeated documents each give their rows; of equally similar windows one is reported, the same at every run;
@@ -61,7 +63,7 @@ class Items:
     n_words: np.ndarray
     bags: list[tuple[np.ndarray, np.ndarray]]  # each item's shingles and how often they occur
     totals: np.ndarray  # weight of each item's shingles
-    known: np.ndarray  # all shingles, sorted
+    known: np.ndarray  # all shingles of these items, and those that several of all items hold, sorted
     weights: np.ndarray
     rare: float  # weight of a shingle that is in no item
     prints: np.ndarray  # items x 8 bytes
@@ -71,7 +73,8 @@ class Items:
     least: dict[int, float]  # per length, the least weight of an item
 
     @classmethod
-    def build(cls, rows: list[tuple], n_items: int) -> Items:
+    def build(cls, rows: list[tuple], n_items: int, counts: tuple[np.ndarray, np.ndarray] | None = None) -> Items:
+        """rows: of all n_items items, or a block of them; then counts: from repeated(), of all."""
         words = Words([("" if t is None else t).encode("utf-8", "surrogatepass") for _, t in rows], table=BARE)
         h = words.hashes()
         per = [h[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
@@ -80,6 +83,10 @@ class Items:
         lists = [shingles(w) for w in per]
         bags = [np.unique(x, return_counts=True) for x in lists]
         known, count = np.unique(np.concatenate([s for s, _ in bags]), return_counts=True) if bags else (np.empty(0, np.uint64), np.empty(0))
+        if counts is not None:
+            known = np.union1d(known.astype(np.uint64), counts[0])
+            count = np.ones(len(known), np.int64)
+            count[np.searchsorted(known, counts[0])] = counts[1]
         n = max(1, n_items)
         weights = np.log1p(n / np.maximum(count, 1)).astype(np.float64)
         weigh = lambda x: weights[np.searchsorted(known, x)]
@@ -217,14 +224,34 @@ def _verify(items: Items, sh: np.ndarray, weight: np.ndarray, windows: list[tupl
 MATCHES = "doc_id long, item_id long, similarity double, distance int, first_word long, n_words long"
 
 
+def repeated(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than one item holds, sorted, and how many items hold each."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches(it):
+            for _, _, part in text_chunks(pdf["text"].tolist()):
+                words = Words(part, table=BARE)
+                h = words.hashes()
+                lists = [np.unique(shingles(h[a:b])) for a, b in zip(words.first[:-1], words.first[1:])]
+                known, count = np.unique(np.concatenate(lists), return_counts=True)
+                yield pd.DataFrame({"shingle": known.view(np.int64), "n": count.astype(np.int64)})
+
+    counts = rows.select("text").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+    table = counts.toArrow()
+    known = table["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], table["n"].to_numpy()[order]
+
+
 def item_blocks(benchmark: DataFrame, block: int = ITEM_BLOCK) -> Iterator[Items]:
     """The items in blocks of about `block`, by a hash of text and id."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     n = rows.count()
     blocks = max(1, -(-n // block))
+    counts = repeated(rows) if blocks > 1 else None  # a single block holds them all
     for k in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Items.build([(r["item_id"], r["text"]) for r in sorted(part.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))], n)
+        yield Items.build([(r["item_id"], r["text"]) for r in sorted(part.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))], n, counts)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -171,6 +171,23 @@ def test_items_in_blocks(spark, odd, benchmark):
     assert found == {(0, 1), (1, None)}
 
 
+def test_blocks_weigh_as_one(spark):
+    """Items that are mostly a template, many blocks: the same rows and similarities as one block."""
+    template = prose(700, 35)
+    items = [(i, (template + " " if i % 3 == 0 else "") + prose(710 + i, 6 if i % 3 == 0 else 30)) for i in range(60)]
+    texts = [template, prose(1, 40) + " " + template + " " + prose(2, 40)] + [prose(3, 20) + " " + items[i][1] + " " + prose(4, 20) for i in range(0, 60, 7)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found(block):
+        tables = list(D.item_blocks(bench, block))
+        return len(tables), sorted((r[0], b.ids[r[1]], round(r[2], 9), *r[3:]) for b in tables for r in D.find(b, texts))
+
+    (one, want), (many, got) = found(60), found(4)
+    assert one == 1 and many == 15 and got == want and want
+    sims = {(t, i): s for t, i, s, *_ in want}
+    assert all(abs(s - best_brute([t for _, t in items], texts[t], i)) < 1e-6 for (t, i), s in sims.items())
+
+
 # --- packing ---
 
 
