@@ -7,7 +7,9 @@ differing texts are slots. The result is the host's wrapper, a regular expressio
 such as `nav? div.ad article(h1(#) p(#)+) footer?`.
 
 The wrapper's group that holds the host's running text is its main group; a page's text is read from
-that group, leaving out menus, headers, footers, adverts, forms, comments and the like. Equal
+that group, leaving out menus, headers, footers, adverts, forms, comments and the like. So are the
+wrapper's constant texts: those that every page of the host with their slot (path of labels) has
+there, on TEMPLATE_PAGES different pages or more; a page that has nothing else keeps them. Equal
 streams are counted before alignment, and alignment goes in two levels, so a host of any number of
 pages is never gathered in one task.
 
@@ -18,6 +20,7 @@ rows; a null page_id stays null; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -312,16 +315,21 @@ def _regions(node: Node, path: str, want: str) -> Iterator[Node]:
 
 def blocks(region: Node) -> list[str]:
     """Texts of the region's blocks in page order: references decoded, white space single."""
-    out: list[str] = []
+    return [text for _, text in slots(region, "")]
+
+
+def slots(region: Node, at: str) -> list[tuple[str, str]]:
+    """The blocks' texts, each with the path of labels of its slot; `at` is the region's own path."""
+    out: list[tuple[str, str]] = []
     run: list[str] = []
 
-    def end() -> None:
+    def end(path: str) -> None:
         text = " ".join(unescape("".join(run)).split())
         if text:
-            out.append(text)
+            out.append((path, text))
         run.clear()
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, path: str) -> None:
         for kid in node.kids:
             if isinstance(kid, str):
                 run.append(kid)
@@ -329,34 +337,43 @@ def blocks(region: Node) -> list[str]:
                 run.append(" " if kid.tag == "br" else "")
             elif kid.side:
                 if kid.tag not in INLINE and kid.tag not in INVISIBLE:
-                    end()
+                    end(path)
             elif kid.tag in INLINE:
-                walk(kid)
+                walk(kid, path)
             else:
-                end()
-                walk(kid)
-                end()
+                end(path)
+                walk(kid, inner := f"{path}>{kid.label}")
+                end(inner)
 
-    walk(region)
-    end()
+    walk(region, at)
+    end(at)
     return out
 
 
-def main_text(html: str | None, path: str | None) -> str:
-    """A page's text from the main group at `path`; where the page lacks it, from its own."""
+def text_key(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def main_text(html: str | None, path: str | None, constant: frozenset[int] = frozenset()) -> str:
+    """A page's text from the main group at `path`; where the page lacks it, from its own. Texts whose
+    keys are constant are left out, unless the page has no other."""
     if not html:
         return ""
     top = parse(html)
     found = list(_regions(top, "", path)) if path is not None else []
     if not found:
-        found = list(_regions(top, "", main_path({p: tuple(v) for p, v in masses(top).items()})))
-    return "\n".join(x for region in found for x in blocks(region))
+        path = main_path({p: tuple(v) for p, v in masses(top).items()})
+        found = list(_regions(top, "", path))
+    texts = [x for region in found for x in slots(region, path)]
+    own = [x for x in texts if text_key(*x) not in constant] if constant else texts
+    return "\n".join(x for _, x in own or texts)
 
 
 # --- over a table ---
 
 WRAPPER_ROWS = 100_000  # hosts whose main paths may be sent to every task; beyond, they are joined
 FOLD_SALTS = 32
+TEMPLATE_PAGES = 4  # different pages that show a text to be the template's; one or two may be near copies
 
 
 def observations(pages: DataFrame) -> DataFrame:
@@ -421,22 +438,63 @@ def wrappers(seen: DataFrame) -> DataFrame:
     return whole.join(paths, "host").select("host", as_text("key").alias("wrapper"), "path", F.col("n").alias("pages"))
 
 
+def constants(pages: DataFrame) -> DataFrame:
+    """host, constant: the keys of the texts that every page with their slot has there. seen has a bit
+    for each page by a hash of its html, so that repeated pages count once."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, int, int], list[int]] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "slot", "key", "n", "seen"])
+            sums.clear()
+            return out
+
+        for pdf in batches(it):
+            for url, html in zip(pdf["url"].array, pdf["html"].array):
+                host, texts = split_url(url)[0], set(slots(parse(html or ""), ""))
+                bit = text_key("", html or "") & 63
+                bit = (1 << bit) - (1 << 64) * (bit == 63)
+                found = {(text_key(p, ""), text_key(p, t)) for p, t in texts}
+                for slot, key in found | {(s, 0) for s, _ in found}:  # 0: the slot itself
+                    v = sums.setdefault((host, slot, key), [0, 0])
+                    v[0] += 1
+                    v[1] |= bit
+            if len(sums) > 100_000:
+                yield flush()
+        if sums:
+            yield flush()
+
+    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
+    seen = rows.mapInPandas(run, "host string, slot long, key long, n long, seen long").groupBy("host", "slot", "key")
+    # What a slot has on all its pages is as frequent as the slot.
+    each = seen.agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("seen")).alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
+    slot = F.struct("key", "n")
+    whole = each.groupBy("host", "slot").agg(F.max("n").alias("most"), F.collect_list(slot).alias("texts"))
+    text = whole.select("host", F.explode(F.filter("texts", lambda x: (x["n"] == F.col("most")) & (x["key"] != 0))).alias("text"))
+    return text.groupBy("host").agg(F.collect_list("text.key").alias("constant"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row a page."""
     from .common import materialise
 
-    known = materialise(wrappers(observations(pages)), "wrappers").select("host", "path")
+    fixed = materialise(constants(pages), "constants")
+    known = materialise(wrappers(observations(pages)), "wrappers").select("host", "path").join(fixed, "host", "left")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     few = known.limit(WRAPPER_ROWS + 1).collect()
-    by_host = {r["host"]: r["path"] for r in few} if len(few) <= WRAPPER_ROWS else None
+    by_host = {r["host"]: (r["path"], frozenset(r["constant"] or ())) for r in few} if len(few) <= WRAPPER_ROWS else None
     if by_host is None:
         host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        rows = rows.withColumn("host", host).join(known, "host", "left").select("page_id", "url", "html", "path")
+        rows = rows.withColumn("host", host).join(known, "host", "left").select("page_id", "url", "html", "path", "constant")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(it):
-            paths = pdf["path"].array if by_host is None else [by_host.get(split_url(u)[0]) for u in pdf["url"].array]
-            texts = [main_text(h, p) for h, p in zip(pdf["html"].array, paths)]
+            if by_host is None:
+                read = [(p, frozenset(() if c is None else c)) for p, c in zip(pdf["path"].array, pdf["constant"].array)]
+            else:
+                read = [by_host.get(split_url(u)[0], (None, frozenset())) for u in pdf["url"].array]
+            texts = [main_text(h, *r) for h, r in zip(pdf["html"].array, read)]
             yield pd.DataFrame(
                 {"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]}
             )

@@ -43,6 +43,21 @@ def test_main_text_by_join(pages, monkeypatch):
     assert sorted((r.page_id or 0, r.text) for r in H.extract(pages).collect()) == whole
 
 
+@pytest.mark.parametrize("by_join", [False, True])
+def test_constant_texts_are_the_templates(spark, monkeypatch, by_join):
+    """A text on every page of a host is left out, in a class of any name; on few pages, or only some, it stays."""
+    page = "<article><div class=box>Read our terms</div><h1>Title {0}</h1><p>own {0}</p>{1}<p>Thank you.</p></article>"
+    rows = [(k, f"http://t.org/{k}", page.format(k, "<p>some</p>" if k % 2 else "")) for k in range(80)]
+    rows += [(100 + k, f"http://few.org/{k}", page.format(k % 2, "")) for k in range(9)]
+    rows += [(200 + k, f"http://same.org/{k}", f"<article><p>all alike</p></article><!--{k}-->") for k in range(30)]
+    if by_join:
+        monkeypatch.setattr(H, "WRAPPER_ROWS", 1)
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\nown {k}" + "\nsome" * (k % 2) for k in range(80))
+    assert all(got[100 + k] == f"Read our terms\nTitle {k % 2}\nown {k % 2}\nThank you." for k in range(9))
+    assert all(got[200 + k] == "all alike" for k in range(30))
+
+
 def test_empty_pages(pages):
     none = pages.limit(0)
     assert H.extract(none).isEmpty() and U.url_filter(none).isEmpty() and W.derivatives(W.from_pages(none)).isEmpty()
