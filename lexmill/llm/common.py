@@ -45,7 +45,41 @@ def materialise(df: DataFrame, label: str, batch_rows: int | None = None) -> Dat
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+HOT_ROWS = 200_000  # rows of one key that a task may get
+HOT_KEYS = 1024
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame | None:
+    """The keys that more than HOT_ROWS rows hold, and more than one in HOT_KEYS of all: so many at
+    most, whatever the size. counts: one row a key, its rows in column n. None if there are none."""
+    total = counts.agg(F.sum(n), F.max(n)).first()
+    edge = max(HOT_ROWS, (total[0] or 0) // HOT_KEYS)
+    return counts.filter(F.col(n) > edge).select(*keys) if (total[1] or 0) > edge else None
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has few rows a key. The rows of hot keys go to SALTS tasks each,
+    to which side's rows of these keys are copied."""
+    if hot is None:
+        return rows.join(side, keys, how)
+    mark = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    salted = rows.join(mark, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = side.join(mark, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 BROADCAST_ROWS = 50_000

@@ -3,14 +3,14 @@
 A document's set is its distinct 5-word shingles (its whole word sequence, where it has fewer).
 Documents of equal sets are joined by a digest first; one representative of each set goes on.
 
-The forest: MinHash signatures of the representatives are sorted in several orders, each by its own
-selection of signature values. In an order, documents with the longest common prefixes are
-neighbours. The depth to which prefixes must agree adapts to the region: it starts shallow (LEVELS),
-where a region of up to REGION documents gives all its pairs. The documents of fuller regions go on
-to the next level: deeper prefixes, in so many more orders that a pair at the threshold is missed
-about as rarely as before (about one in a million). In regions that are still too full at the last
-depth every document is paired with its neighbours in the sorted order and with the region's first,
-which is linear in its size and connects what is alike nearly throughout.
+The forest: each of its trees sorts the MinHash signatures by its own order of the signature's
+values. Documents with the longest common prefixes are neighbours in it. The depth to which prefixes
+must agree adapts to the region: it starts shallow (LEVELS), and a region of up to REGION documents
+gives all its pairs. A fuller region is split by more values of the same order; its documents also
+enter trees that start at that depth, so that a pair at the threshold is missed about as rarely as
+before (about one in a million). In regions that are still too full at the last depth, documents are
+sorted by what their order goes on with: each is paired with its neighbours, with one more on the
+side of the longer common prefix, and with the region's first.
 
 Candidates whose signatures agree too little (five standard errors below the threshold) go. The rest
 are verified on full sets, in two rounds: for each document its likeliest and its smallest partner,
@@ -21,8 +21,11 @@ Full regions of the last depth whose documents aren't connected by then are sear
 that share documents make a crowd, and all pairs of a crowd are compared by exact set sizes, in
 square blocks of two buckets each. That is quadratic in the size of such a crowd, and in nothing else.
 
+Joins on a region, a region's first, a set that many copies share, or a component's root are salted
+where one key holds many rows.
+
 Defined results: documents without words (or with null text) have an empty set and are alone; rows
-that repeat a doc_id are one document, kept or dropped together; a null doc_id is alone, with null
+that repeat a doc_id are one document, with the links of all its texts, kept or dropped together; a null doc_id is alone, with null
 component_id, and kept; an empty table gives no rows; extra columns are ignored, or kept by distinct().
 """
 
@@ -36,17 +39,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, Words, batches, materialise, mix, shingle_hashes, text_chunks
+from .common import TEXT_ROWS, Words, batches, discard, hot_keys, materialise, mix, shingle_hashes, spread_join, text_chunks
 
 SHINGLE = 5
 THRESHOLD = 70  # per cent
 HASHES = 128
-#: (depth, orders): shallow prefixes first. Pairs at the threshold are missed with a chance of
-#: (1 - 0.7 ** depth) ** orders.
+#: (depth, trees): shallow prefixes first; a level's trees are those of the level before and more.
+#: Pairs at the threshold are missed with a chance of (1 - 0.7 ** depth) ** trees.
 LEVELS = ((2, 20), (4, 48), (7, 160))
 REGION = 32
 SURELY_LESS = 0.5  # share of equal signature values below which a pair can't reach the threshold
-NEIGHBOURS = 2
+FURTHER = 16  # values after the last depth by which full regions are sorted, one byte of each
+HOT_STAR = 100_000  # a root with more nodes has its joins checked for hot keys
 BUCKET_DOCS = 2000  # documents and shingles of a crowd's bucket, about; two buckets make a block
 BUCKET_SHINGLES = 2_000_000
 
@@ -105,100 +109,129 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SKETCH)
 
 
-def orders(level: int) -> np.ndarray:
-    """The signature values that each order of a level is sorted by, first to last. The orders of the
-    first level share none while there are enough."""
-    depth, count = LEVELS[level]
-    rng = np.random.default_rng(1000 + level)
-    rows = []
+def orders() -> np.ndarray:
+    """The signature values that each tree sorts by, first to last. Trees share no value of their
+    prefixes while there are enough."""
+    depth, count = LEVELS[-1]
+    rng = np.random.default_rng(1000)
+    rows: list[np.ndarray] = []
     while len(rows) < count:
         p = rng.permutation(HASHES)
-        rows += [p[i : i + depth] for i in range(0, HASHES - depth + 1, depth)]
+        for i in range(0, HASHES - depth + 1, depth):
+            rest = np.setdiff1d(np.arange(HASHES), p[i : i + depth])
+            rows.append(np.concatenate([p[i : i + depth], rng.permutation(rest)[:FURTHER]]))
     return np.array(rows[:count])
 
 
-def next_values(level: int) -> np.ndarray:
-    """The two signature values that each order of a level is sorted by after its prefix."""
-    rng = np.random.default_rng(2000 + level)
-    return np.array([rng.permutation(np.setdiff1d(np.arange(HASHES), row))[:2] for row in orders(level)])
-
-
 def prefixes(sigs: DataFrame, level: int) -> DataFrame:
-    """region (hash of order and prefix) and doc_id, for every document in every order; at the last
-    level also what the order goes on with, so that neighbours within a region can be told."""
-    chosen, last = orders(level), level + 1 == len(LEVELS)
-    after = next_values(level)
-    salt = mix(np.arange(len(chosen), dtype=np.uint64) + np.uint64(level << 20))
+    """region (hash of tree and prefix), tree and doc_id. sigs: doc_id, signature and, after the first
+    level, the trees in which the document's region was full (column full): of the trees of the level
+    before, only these are extended. At the last level also what the order goes on with."""
+    depth, count = LEVELS[level]
+    chosen, last = orders()[:count], level + 1 == len(LEVELS)
+    before = LEVELS[level - 1][1] if level else 0
+    seed = mix(np.arange(count, dtype=np.uint64) + np.uint64(level << 20))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches(it):
             for first in range(0, len(whole), 2000):
                 pdf = whole.iloc[first : first + 2000]
                 m = np.frombuffer(b"".join(pdf["signature"]), "<u4").reshape(-1, HASHES).astype(np.uint64)
-                key = np.broadcast_to(salt, (len(m), len(salt))).copy()
-                for k in range(chosen.shape[1]):
+                key = np.broadcast_to(seed, (len(m), count)).copy()
+                for k in range(depth):
                     key = mix(key ^ m[:, chosen[:, k]])
-                ids = np.repeat(pdf["doc_id"].to_numpy(np.int64), len(salt))
-                out = pd.DataFrame({"region": key.ravel().view(np.int64), "doc_id": ids})
+                use = np.ones((len(m), count), bool)
+                if level:
+                    use[:, :before] = False
+                    use[np.repeat(np.arange(len(m)), [len(x) for x in pdf["full"]]), np.concatenate([*pdf["full"], []]).astype(np.int64)] = True
+                row, tree = np.nonzero(use)
+                out = pd.DataFrame({"region": key[row, tree].view(np.int64), "tree": tree.astype(np.int16), "doc_id": pdf["doc_id"].to_numpy(np.int64)[row]})
                 if last:
-                    out["then"] = ((m[:, after[:, 0]] << np.uint64(31)) ^ m[:, after[:, 1]]).ravel().view(np.int64)
+                    small = (mix(m) & np.uint64(255)).astype(np.uint8)
+                    rest = small[row[:, None], chosen[tree, depth : depth + FURTHER]]
+                    out["rest"] = pd.Series([r.tobytes() for r in rest], dtype=object)
                 yield out
 
-    return sigs.select("doc_id", "signature").mapInPandas(run, "region long, doc_id long" + ", then long" * last)
+    return sigs.mapInPandas(run, "region long, tree short, doc_id long" + ", rest binary" * last)
 
 
 def regions(sigs: DataFrame, level: int) -> DataFrame:
-    """region, doc_id, n, hub: the regions that hold two documents or more, with their sizes and
+    """region, tree, doc_id, n, hub: the regions that hold two documents or more, with their sizes and
     first documents. Counts are summed before the shuffle; the join adds one row a region."""
     rows = prefixes(sigs, level)
-    sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1")
-    return materialise(rows.join(sizes, "region"), "regions")
+    sizes = materialise(rows.groupBy("region").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1"), "sizes")
+    out = materialise(spread_join(rows, sizes, ["region"], hot_keys(sizes, ["region"], "n")), "regions")
+    discard(sizes)
+    return out
 
 
 def candidate_pairs(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b), a > b, distinct: pairs of documents to compare; (region, doc_id, hub) of the regions that
     are too full at the last depth."""
-    found = []
+    found, used, whole = [], [], sigs
     for level in range(len(LEVELS)):
         held = regions(sigs, level)
+        used.append(held)
         small = held.filter(F.col("n") <= REGION).select("region", "doc_id")
         left, right = small.withColumnRenamed("doc_id", "a"), small.withColumnRenamed("doc_id", "b")
         found.append(left.join(right, "region").filter("a > b").select("a", "b"))
         full = held.filter(F.col("n") > REGION)
         found.append(full.filter("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
         if level + 1 < len(LEVELS):
-            active = full.select("doc_id").distinct()
-            sigs = materialise(sigs.join(active, "doc_id", "left_semi"), "active")
+            active = full.groupBy("doc_id").agg(F.collect_list("tree").alias("full"))
+            sigs = materialise(whole.join(active, "doc_id"), "active")
+            used.append(sigs)
         else:
-            found.append(neighbours(full.select("region", "then", "doc_id")))
+            found.append(neighbours(full.select("region", "rest", "doc_id")))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct(), full.select("region", "doc_id", "hub")
+    pairs, full = materialise(pairs.distinct(), "pairs"), materialise(full.select("region", "doc_id", "hub"), "full")
+    discard(*used)
+    return pairs, full
+
+
+def common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many leading values of each row of x and y agree."""
+    return np.cumprod(x == y, axis=1).sum(axis=1)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs of documents next to each other in a region's order (column `then`, the values after the
-    prefix): longest common prefixes first. Regions are cut where a range partition ends: every
-    document is paired with its region's first as well."""
+    """Pairs of documents next to each other in a region's order (column `rest`, the values after the
+    prefix), and of those two places apart on the side with the longer common prefix. Regions are cut
+    where a range partition ends: every document is paired with its region's first as well."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for pdf in batches(it):
             joined = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             region, doc = joined["region"].to_numpy(), joined["doc_id"].to_numpy(np.int64)
-            for k in range(1, NEIGHBOURS + 1):
-                same = region[k:] == region[:-k]
-                if same.any():
-                    x, y = doc[k:][same], doc[:-k][same]
-                    yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-            held = joined.iloc[-NEIGHBOURS:]
-
-    order = ("region", "then", "doc_id")
+            rest = np.frombuffer(b"".join(joined["rest"]), np.uint8).reshape(len(joined), -1)
+            same = region[1:] == region[:-1]
+            longest = np.where(same, common_prefix(rest[1:], rest[:-1]), -1)
+            at = np.flatnonzero(same)
+            x, y = [at + 1], [at]
+            # i and i + 2, if the longer prefix of either leads towards the other.
+            inner = np.concatenate(([-1], longest, [-1, -1]))
+            i = np.flatnonzero(same[:-1] & same[1:])
+            towards = (inner[i + 1] >= inner[i]) | (inner[i + 2] >= inner[i + 3])
+            x.append(i[towards] + 2)
+            y.append(i[towards])
+            x, y = doc[np.concatenate(x)], doc[np.concatenate(y)]
+            if len(x):
+                yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+            held = joined.iloc[-3:]
+
+    order = ("region", "rest", "doc_id")
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return sorted_rows.mapInPandas(run, "a long, b long").filter("a <> b")
 
 
+def hot_partners(pairs: DataFrame) -> DataFrame | None:
+    """The documents b that very many pairs (materialised) name."""
+    return hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), ["b"], "n")
+
+
 def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """(a, b, share): pairs whose signatures agree in SURELY_LESS of the values or more. One byte of
     each value goes on; chance agreement of bytes is taken off."""
@@ -217,7 +250,7 @@ def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     short = materialise(sigs.select("doc_id", low_bytes("signature").alias("sig")), "bytes")
     both = pairs.join(short.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = both.join(short.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    both = spread_join(both, short.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), ["b"], hot_partners(pairs))
     return both.select("a", "b", share("sig_a", "sig_b").alias("share")).filter(F.col("share") >= SURELY_LESS)
 
 
@@ -226,7 +259,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     travels to b's partition; a's set and b's are compared there, b's built once for a run."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = spread_join(left, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), ["b"], hot_partners(pairs))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, np.empty(0, np.uint64)
@@ -249,20 +282,24 @@ def connect(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a > b) can reach."""
     now, mark = materialise(edges.select("a", "b").distinct(), "edges"), None
     while True:
+        by_end = now.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+        state = tuple(by_end.agg(F.sum("n"), F.bit_xor("x"), F.max("n")).first())
+        if state == mark:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        mark = state
         # Large star: a node's larger neighbours go to the smallest of its neighbourhood.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        hot = hot_keys(by_end.select(F.col("b").alias("a"), "n"), ["a"], "n") if (state[2] or 0) > HOT_STAR else None
+        large = spread_join(both.filter("b > a"), least, ["a"], hot).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         large = materialise(large, "large-star")
+        discard(now)
         # Small star: a node and its smaller neighbours go to the smallest of these.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
         now = materialise(small, "small-star")
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = state
+        discard(large)
 
 
 def crowds(full: DataFrame, roots: DataFrame) -> DataFrame | None:
@@ -270,8 +307,11 @@ def crowds(full: DataFrame, roots: DataFrame) -> DataFrame | None:
     if there are none. Regions that share a document are one crowd."""
     known = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component"))
     named = full.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    held = materialise(named.join(mixed.select("region"), "region").select("doc_id", "component", "hub").distinct(), "mixed")
+    mixed = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y")
+    mixed = materialise(mixed.select("region", "n"), "mixed-regions")
+    inside = spread_join(named, mixed.select("region"), ["region"], hot_keys(mixed, ["region"], "n"))
+    held = materialise(inside.select("doc_id", "component", "hub").distinct(), "mixed")
+    discard(mixed)
     if held.isEmpty():
         return None
     crowd = connect(held.filter("doc_id > hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
@@ -365,19 +405,20 @@ def links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the representatives that are linked with another."""
     proposed, full = candidate_pairs(sigs)
     pairs = materialise(likely(proposed, sigs), "likely")
+    discard(proposed)
     # First round: each document's likeliest and smallest partner.
     per = pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"), F.min("b").alias("least"))
     first = materialise(per.select("a", F.explode(F.array_distinct(F.array("best.b", "least"))).alias("b")), "first")
-    edges = materialise(verified(first, docs), "verified", TEXT_ROWS)
-    roots = connect(edges)
+    roots = connect(materialise(verified(first, docs), "verified", TEXT_ROWS))
     # Second round: what isn't connected by then.
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     named = rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
-    named = named.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    named = spread_join(named, roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), ["b"], hot_partners(pairs), "left")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     second = materialise(named.filter(apart).select("a", "b"), "second")
     if not second.isEmpty():
         roots = connect(_as_edges(roots).unionByName(materialise(verified(second, docs), "more", TEXT_ROWS)))
+    discard(pairs, first)
     # Third round: full regions that hold several components.
     members = crowds(full, roots)
     if members is None:
@@ -394,17 +435,25 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     known = materialise(sketches(docs), "sketches", TEXT_ROWS)
     filled = known.filter("set_a is not null and doc_id is not null")
-    sets = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "sets")
-    sigs = filled.select("doc_id", "signature").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sigs = materialise(sigs.dropDuplicates(["doc_id"]), "signatures")
-    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    roots = links(sigs, texts)
+    sets = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
+    mine = ["set_a", "set_b", "doc_id"]
+    sigs = filled.select(*mine, "signature").join(sets.select("set_a", "set_b", F.col("rep").alias("doc_id")), mine, "left_semi")
+    sigs = materialise(sigs.dropDuplicates(mine).select("doc_id", "signature"), "signatures")
+    roots = links(sigs, docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()))
+    # Rows of one doc_id with different sets are one document: their representatives are linked.
+    own = F.struct("set_a", "set_b")
+    several = materialise(filled.groupBy("doc_id").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x <> y").select("doc_id"), "several")
+    if not several.isEmpty():
+        ends = filled.select(*mine).join(several, "doc_id").join(sets, ["set_a", "set_b"]).filter("doc_id <> rep")
+        same = ends.select(F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b"))
+        roots = connect(_as_edges(roots).unionByName(same))
     named = sets.join(roots, F.col("rep") == F.col("node"), "left")
     named = named.select("set_a", "set_b", F.coalesce("root", "rep").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    # A set that many copies share is a hot key; documents without a set need no join.
+    out = spread_join(filled.select(*mine, "n_shingles"), named, ["set_a", "set_b"], hot_keys(sets, ["set_a", "set_b"], "n")).select("doc_id", "n_shingles", "component_id")
+    alone = known.filter("set_a is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def distinct(docs: DataFrame) -> DataFrame:

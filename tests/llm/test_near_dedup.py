@@ -91,12 +91,29 @@ def test_signatures_estimate_similarity():
     assert abs((a == b).mean() - 500 / 700) < 5 * math.sqrt(0.25 / N.HASHES)
 
 
-def test_orders_are_deep_enough():
+def test_trees_are_deep_enough():
     for depth, count in N.LEVELS:
         assert (1 - 0.7**depth) ** count < 1e-5
-    for level, (depth, count) in enumerate(N.LEVELS):
-        chosen = N.orders(level)
-        assert chosen.shape == (count, depth) and all(len(set(r)) == depth for r in chosen.tolist())
+    depth, count = N.LEVELS[-1]
+    trees = N.orders()
+    assert trees.shape == (count, depth + N.FURTHER) and all(len(set(r)) == depth + N.FURTHER for r in trees.tolist())
+
+
+def test_deeper_prefixes_split_full_regions(spark):
+    """A tree's regions of a level are parts of its regions of the level before."""
+    rng = np.random.default_rng(3)
+    sigs = [(i, rng.integers(0, 3, N.HASHES).astype("<u4").tobytes()) for i in range(200)]
+    first = spark.createDataFrame(sigs, "doc_id long, signature binary")
+    shallow = {(r.tree, r.doc_id): r.region for r in N.prefixes(first, 0).collect()}
+    assert len(shallow) == 200 * N.LEVELS[0][1]
+    deeper = spark.createDataFrame([(i, s, [0, 3] if i % 2 else [1]) for i, s in sigs], "doc_id long, signature binary, full array<short>")
+    rows = N.prefixes(deeper, 1).collect()
+    assert {r.tree for r in rows if r.doc_id == 7} == {0, 3, *range(N.LEVELS[0][1], N.LEVELS[1][1])}
+    parts = defaultdict(set)
+    for r in rows:
+        if r.tree < N.LEVELS[0][1]:
+            parts[r.region].add((r.tree, shallow[r.tree, r.doc_id]))
+    assert parts and all(len(p) == 1 for p in parts.values())
 
 
 @pytest.mark.parametrize("edges", [[], [(2, 1)], [(5, 4), (4, 3), (3, 2), (2, 1)], [(9, 1), (9, 8), (7, 8), (6, 5)], [(k + 1, k) for k in range(40)]])
@@ -110,12 +127,46 @@ def test_connect(spark, edges):
     assert got == {n: r for n, r in root.items() if n != r}
 
 
-def test_neighbours(spark):
-    rows = spark.createDataFrame([(r, d) for r in (1, 2) for d in range(10 * r, 10 * r + 4)], "region long, doc_id long")
-    rows = rows.withColumn("then", F.col("doc_id") % 2)  # 10, 12, 11, 13
-    got = {(r.a, r.b) for r in N.neighbours(rows.coalesce(1)).collect()}
-    assert {(12, 10), (12, 11), (11, 10), (13, 11), (13, 12)} <= got and all(a // 10 == b // 10 and a > b for a, b in got)
-    assert (13, 10) not in got
+def test_neighbours_have_the_longest_common_prefixes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(r, int(1000 * r + k), rng.integers(0, 3, 6).astype(np.uint8).tobytes()) for r in (1, 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "region long, doc_id long, rest binary")
+    got = {(r.a, r.b) for r in N.neighbours(df.coalesce(1)).collect()}
+    assert all(a // 1000 == b // 1000 and a > b for a, b in got)
+    lcp = lambda x, y: next((k for k in range(6) if x[k] != y[k]), 6)
+    for region, doc, rest in rows:
+        best = max(lcp(rest, s) for r, d, s in rows if r == region and d != doc)
+        partners = [s for r, d, s in rows if (max(d, doc), min(d, doc)) in got]
+        assert max(lcp(rest, s) for s in partners) == best and len(partners) >= 2 - (len(partners) < 2)
+
+
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_spread_joins(spark, monkeypatch, hot):
+    from lexmill.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = spark.createDataFrame([(k % 3 if k < 40 else k, k) for k in range(60)] + [(None, 99)], "key long, x long")
+    side = spark.createDataFrame([(k, -k) for k in range(50)], "key long, y long")
+    hot_ones = common.hot_keys(rows.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n")
+    assert (hot_ones is None) == (hot > 60)
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(side, "key", how).collect()))
+        assert sorted(map(str, common.spread_join(rows, side, ["key"], hot_ones, how).select("key", "x", "y").collect())) == want
+
+
+def test_hot_keys_everywhere(spark, monkeypatch):
+    """The same groups where every join is salted; a document with two texts has the links of both."""
+    from lexmill.llm import common
+
+    rng = random.Random(9)
+    rows = [(i, edited(prose(i % 9, 90), rng, 0.02)) for i in range(150)] + [(200 + k, prose(3, 90)) for k in range(20)] + [(300, prose(70, 60)), (300, prose(71, 60)), (301, prose(70, 60)), (302, prose(71, 60)), (303, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.component_id for r in N.components(df).collect()}
+    assert want[301] == want[302] == want[300] == 300 and want[200] == want[219]
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "SALTS", 3)
+    monkeypatch.setattr(N, "HOT_STAR", 1)
+    assert {r.doc_id: r.component_id for r in N.components(df).collect()} == want
 
 
 def pool_family(n, rng, clauses=60, words=12):
