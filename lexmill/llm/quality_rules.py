@@ -2,13 +2,19 @@
 
 Every text is counted whole (words, symbols, repeated lines and passages); transformed shares of
 these counts form a statistic vector. Per language and source a minimum-covariance-determinant
-estimate of centre and scatter is found by concentration steps over all rows of the group: distances
-to the current estimate, then the mean and covariance of the nearer three quarters, each a grouped
-aggregation with partial sums, so that no group is gathered in one task. The start is the median
-and the median absolute deviation. A text is rejected by its Mahalanobis distance.
-
-Sources with few rows are pooled within their language, and languages with few rows together. Small
-variances are floored, as most shares are zero in clean text.
+estimate of centre and scatter is found over all rows of the group. Several starts (all rows, and
+hashed subsets of about SUBSET rows) are concentrated: a step takes the nearer three quarters of the
+rows by the current estimate, and their mean and covariance. After FIRST_STEPS the start of least
+determinant goes on until the determinant settles; the least one met is the estimate. Steps are
+grouped aggregations with partial sums, so that no group is gathered in one task. The quantiles of
+distance are read from histograms with bins of 0.4 per cent, so they are the same however rows are
+partitioned, and a step's subset may hold as many rows more as share the last bin. A text is rejected
+by its Mahalanobis distance.
+
+An estimate of n rows is drawn to the next wider one's (source to language, language to all rows),
+which counts as PRIOR rows; fewer than LEAST rows say nothing of their own. As most shares are zero in
+clean text, plain determinants would be zero: covariances are regularised, in units of the scales
+given with the features, so that no direction varies by less than that.
 
 Defined results: a null text has no words, so base_failed is true and kept false; repeated rows
 are judged alike; null languages and sources are groups of their own; an empty table gives no rows;
@@ -21,17 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, Words, batches, materialise, shingle_hashes, small_side, text_chunks
+from .common import BROADCAST_ROWS, TEXT_ROWS, Words, batches, discard, hot_keys, materialise, shingle_hashes, small_side, spread_join, text_chunks
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-MIN_GROUP = 200  # rows that a group needs for an estimate of its own
 CONCENTRATION = 0.75
-STEPS = 3
+STARTS = 5  # all rows, and four hashed subsets
+SUBSET = 24  # three times as many rows as a start needs at least
+FIRST_STEPS = 2
+MOST_STEPS = 8  # of the chosen start, if it doesn't settle before
+SETTLED = 0.01  # change of the logarithm of the determinant
+LEAST = 16  # twice as many rows as dimensions and one
+PRIOR = 50
+BINS = 256.0  # bins of distance: BINS * log(1 + d)
 #: Chi-square quantiles for len(FEATURES) degrees of freedom: 0.5 and 0.999999.
 CHI_MEDIAN, CUTOFF = 6.346, 41.6
 
@@ -149,27 +161,17 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def groups(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source, grp: the group whose estimate judges each language and source."""
+def group_names() -> list[Column]:
+    """The groups that a row belongs to, from the widest: all, its language, its language and source."""
     label = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(c)))
-    by = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = by.withColumn("pooled", F.when(F.col("n") < min_group, F.col("n")).otherwise(0))
-    langs = small.groupBy(F.col("lang").alias("_lang")).agg(F.sum("pooled").alias("n_pooled"))
-    joined = by.join(langs, F.col("lang").eqNullSafe(F.col("_lang")))
-    return joined.select(
-        "lang",
-        "source",
-        F.when(F.col("n") >= min_group, F.concat_ws("\t", label("lang"), label("source")))
-        .when(F.col("n_pooled") >= min_group, F.concat_ws("\t", label("lang"), F.lit("*")))
-        .otherwise(F.lit("*"))
-        .alias("grp"),
-    )
+    return [F.lit("*"), label("lang"), F.concat_ws("\t", label("lang"), label("source"))]
 
 
 _NAMES = list(FEATURES)
 _P = len(_NAMES)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
-_ESTIMATE = "grp string, " + ", ".join([f"m_{i} double" for i in range(_P)] + [f"p_{i}_{j} double" for i, j in _PAIRS])
+_MEANS, _COVS = [f"m_{i}" for i in range(_P)], [f"c_{i}_{j}" for i, j in _PAIRS]
+_ESTIMATE = "grp string, start int, n long, logdet double, " + ", ".join(f"{c} double" for c in [*_MEANS, *_COVS, *(f"p_{i}_{j}" for i, j in _PAIRS)])
 
 
 def distance() -> Column:
@@ -181,65 +183,126 @@ def distance() -> Column:
     return total
 
 
-def _precision(cov: np.ndarray) -> np.ndarray:
-    """Inverse of a covariance whose eigenvalues, in units of the floors, are at least one."""
+def _regular(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """(inverse, logarithm of the determinant) of a covariance whose eigenvalues, in units of the
+    scales, are at least one."""
     floor = np.array(list(FEATURES.values()))
     values, vectors = np.linalg.eigh(cov / np.outer(floor, floor))
-    return (vectors / np.maximum(values, 1.0)) @ vectors.T / np.outer(floor, floor)
+    values = np.maximum(values, 1.0)
+    return (vectors / values) @ vectors.T / np.outer(floor, floor), float(np.log(values).sum())
+
+
+def _square(row: dict, names: list[str]) -> np.ndarray:
+    out = np.zeros((_P, _P))
+    for (i, j), c in zip(_PAIRS, names):
+        out[i, j] = out[j, i] = row[c]
+    return out
 
 
 def _estimates(moments: DataFrame) -> DataFrame:
-    """Estimates from one row of moments a group."""
+    """Estimates from a row of moments for each group and start. The determinant is the plain
+    covariance's; the scatter is scaled so that the median distance is that of a normal law."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(it):
             rows = []
             for r in pdf.to_dict("records"):
-                mean = np.array([r[f"s_{i}"] for i in range(_P)])
-                cov = np.zeros((_P, _P))
-                for i, j in _PAIRS:
-                    cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"]
-                inv = _precision(cov * r["scale"])
-                rows.append((r["grp"], *mean, *(inv[i, j] for i, j in _PAIRS)))
+                cov = _square(r, _COVS)
+                scaled = cov * r["scale"]
+                inv = _regular(scaled)[0]
+                rows.append((r["grp"], r["start"], r["n"], _regular(cov)[1], *(r[c] for c in _MEANS), *(scaled[i, j] for i, j in _PAIRS), *(inv[i, j] for i, j in _PAIRS)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ESTIMATE.split(", ")])
 
     return moments.mapInPandas(run, _ESTIMATE)
 
 
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse scatter per grp, by concentration steps over all rows.
-
-    A step keeps the rows within the group's CONCENTRATION quantile of distance; the scatter is
-    then scaled so that the median distance is that of a normal law."""
-    aggs = [F.percentile_approx(n, 0.5, 1000).alias(f"s_{i}") for i, n in enumerate(_NAMES)]
-    middle = small_side(materialise(rows.groupBy("grp").agg(*aggs), "medians"))
-    apart = rows.join(middle, "grp").select("grp", *(F.abs(F.col(n) - F.col(f"s_{i}")).alias(n) for i, n in enumerate(_NAMES)))
-    spread = apart.groupBy("grp").agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"d_{i}") for i, n in enumerate(_NAMES)))
-    start = middle.join(spread, "grp").withColumn("scale", F.lit(1.0))
-    for i, j in _PAIRS:
-        start = start.withColumn(f"c_{i}_{j}", F.pow(1.4826 * F.col(f"d_{i}"), 2.0) if i == j else F.lit(0.0))
-    now = small_side(materialise(_estimates(start), "estimate"))
-    for _ in range(steps):
-        near = rows.join(now, "grp").select("grp", *_NAMES, distance().alias("_d"))
-        bound = near.groupBy("grp").agg(F.percentile_approx("_d", F.array(F.lit(0.5), F.lit(CONCENTRATION)), 1000).alias("_q"))
-        bound = small_side(materialise(bound, "bounds"))
-        inner = near.join(bound, "grp").filter(F.col("_d") <= F.col("_q")[1])
-        moments = inner.groupBy("grp").agg(
-            F.first(F.greatest(F.lit(1.0), F.col("_q")[0] / CHI_MEDIAN)).alias("scale"),
-            *(F.avg(n).alias(f"s_{i}") for i, n in enumerate(_NAMES)),
-            *(F.covar_pop(_NAMES[i], _NAMES[j]).alias(f"c_{i}_{j}") for i, j in _PAIRS),
-        )
-        now = small_side(materialise(_estimates(moments), "estimate"))
-    return now
+def _moments(rows: DataFrame, scale: Column) -> DataFrame:
+    covs = [F.covar_pop(_NAMES[i], _NAMES[j]).alias(c) for (i, j), c in zip(_PAIRS, _COVS)]
+    return rows.groupBy("grp", "start").agg(F.first("n").alias("n"), scale.alias("scale"), *(F.avg(f).alias(c) for f, c in zip(_NAMES, _MEANS)), *covs)
+
+
+def _best(estimates: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group."""
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
+    return estimates.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
+def estimate(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The estimate of each group in counts (grp, n; materialised). rows: grp and the features."""
+    many = counts.count() > BROADCAST_ROWS // STARTS
+    hot = hot_keys(counts, ["grp"], "n") if many else None
+
+    def beside(side: DataFrame) -> DataFrame:
+        """The rows with what side has for their group."""
+        return spread_join(rows, side, ["grp"], hot) if many else rows.join(F.broadcast(side), "grp")
+
+    def step(now: DataFrame) -> DataFrame:
+        near = beside(now.drop(*_COVS, "logdet")).withColumn("bin", F.floor(BINS * F.log1p(distance())).cast("int"))
+        held = near.groupBy("grp", "start", "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+        below = F.sum("k").over(Window.partitionBy("grp", "start").orderBy("bin"))
+        cut = lambda share: F.min(F.when(F.col("below") >= F.ceil(share * F.col("n")), F.col("bin")))
+        cuts = held.withColumn("below", below).groupBy("grp", "start").agg(cut(F.lit(CONCENTRATION)).alias("cut"), cut(F.lit(0.5)).alias("middle"))
+        cuts = materialise(cuts, "cuts")
+        inner = beside(now.drop(*_COVS, "logdet").join(cuts, ["grp", "start"])).filter(F.floor(BINS * F.log1p(distance())) <= F.col("cut"))
+        middle = F.expm1((F.first("middle") + 1) / BINS)
+        out = materialise(_estimates(_moments(inner, F.greatest(F.lit(1.0), middle / CHI_MEDIAN))), "estimate")
+        discard(cuts)
+        return out
+
+    # A start's subset is told by a hash of the row's own features.
+    u = F.pmod(F.xxhash64("start", *_NAMES), F.lit(1 << 40)) / float(1 << 40)
+    picked = beside(counts).withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(STARTS))))).filter((F.col("start") == 0) | (u < F.lit(SUBSET) / F.col("n")))
+    now = materialise(_estimates(_moments(picked, F.lit(1.0))), "starts")
+    for _ in range(FIRST_STEPS):
+        now = step(now)
+    best = now = materialise(_best(now), "chosen")
+    for _ in range(MOST_STEPS):
+        now = step(now)
+        before = best.select("grp", F.col("logdet").alias("before"))
+        better = now.join(before, "grp").filter(F.col("logdet") < F.col("before") - SETTLED)
+        done = better.isEmpty()
+        best = materialise(_best(best.withColumn("start", F.lit(1)).unionByName(now.withColumn("start", F.lit(0)))), "best")
+        if done:
+            break
+    return best
+
+
+def _drawn(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(centre, inverse scatter) of each row of nested estimates: columns n, m_i and c_i_j with the
+    suffixes 0 (all rows) to 2; a missing one counts no rows."""
+    for r in pdf.to_dict("records"):
+        mean, cov = np.zeros(_P), np.zeros((_P, _P))
+        for level in range(3):
+            n = r[f"n{level}"]
+            if n is None or n != n:
+                continue
+            w = n / (n + PRIOR) if level else 1.0
+            mean = w * np.array([r[f"{c}{level}"] for c in _MEANS]) + (1 - w) * mean
+            cov = w * _square(r, [f"{c}{level}" for c in _COVS]) + (1 - w) * cov
+        yield mean, _regular(cov)[0]
+
+
+_JUDGE = "_lang string, _source string, " + ", ".join(f"{c} double" for c in [*_MEANS, *(f"p_{i}_{j}" for i, j in _PAIRS)])
 
 
 def fit(stats: DataFrame) -> DataFrame:
     """The estimate that judges each language and source; stats: with_statistics(), materialised."""
-    fine = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    key = small_side(materialise(groups(fine), "groups")).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "grp")
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = fine.join(key, same).select("grp", *_NAMES)
-    return small_side(materialise(key.join(estimate(rows), "grp"), "estimates"))
+    fine = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("lang", "source", *_NAMES)
+    rows = fine.select(F.explode(F.array(*group_names())).alias("grp"), *_NAMES)
+    counts = materialise(rows.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST), "counts")
+    known = estimate(rows, counts).select("grp", "n", *_MEANS, *_COVS)
+    held = materialise(fine.select("lang", "source").distinct(), "held")
+    for level, name in enumerate(group_names()):
+        mine = known.select(*(F.col(c).alias(f"{c}{level}") for c in known.columns))
+        mine = small_side(mine, BROADCAST_ROWS // 10) if level == 2 else F.broadcast(mine.filter(~F.contains(F.col(f"grp{level}"), F.lit("\t"))))
+        held = held.withColumn("_name", name).join(mine, F.col("_name") == F.col(f"grp{level}"), "left").drop("_name", f"grp{level}")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches(it):
+            rows = [(lang, source, *m, *(p[i, j] for i, j in _PAIRS)) for lang, source, (m, p) in zip(pdf["lang"], pdf["source"], _drawn(pdf))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _JUDGE.split(", ")])
+
+    return small_side(materialise(held.mapInPandas(run, _JUDGE), "estimates"))
 
 
 def judged(stats: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -259,9 +322,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, that the rules keep. Statistics are counted again
-    row by row, so that no join on ids is needed and repeated or null ids do no harm."""
-    estimates = fit(materialise(with_statistics(docs), "statistics", TEXT_ROWS))
+    """The rows of docs, with their own columns, that the rules keep. They are written once with their
+    statistics, so that nothing is counted twice and no join on ids is needed."""
     names = [*COUNTS, *_NAMES]
 
     @F.pandas_udf(STATS)
@@ -272,4 +334,5 @@ def accepted(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("lang").cast("string"), F.col("source").cast("string"), counted(F.col("text").cast("string")).alias("_s")
     ).select("_doc", "lang", "source", "_s.*")
-    return judged(rows, estimates).filter("kept").select(*columns)
+    rows = materialise(rows, "statistics", TEXT_ROWS)
+    return judged(rows, fit(rows)).filter("kept").select(*columns)
