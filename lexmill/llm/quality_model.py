@@ -3,8 +3,9 @@
 Features are indicators of hashed n-grams (byte n-grams of the text as written, so that symbols,
 capitals and layout count, and n-grams of the pattern of repeated words), scaled by class log-count
 ratios and set to about unit length; a linear hinge-loss model over them is fitted by dual
-coordinate descent, on a bounded sample of labelled rows. A logistic curve, fitted on sample rows that the model didn't see and weighted by the label
-shares of all labelled rows, turns margins into scores.
+coordinate descent, on a bounded sample of labelled rows with their whole texts. A logistic curve,
+fitted on sample rows that the model didn't see and weighted by the label shares of all labelled
+rows, turns margins into scores.
 
 Defined results: null and empty texts have no n-grams and get the curve's value at the bias alone;
 repeated rows are scored alike; a table without both labels gives every text the share of label 1
@@ -13,7 +14,7 @@ repeated rows are scored alike; a table without both labels gives every text the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,6 @@ from .common import batches, bounded_sample, held_out, mix
 BITS = 18
 SIZES = (2, 3, 4)
 PER_LABEL = 3000  # rows of the sample for each label
-SPAN = 20_000  # characters of a sampled row that training uses
 EPOCHS = 12
 COST = 4.0
 SMOOTH = 1.0
@@ -81,6 +81,22 @@ def indicators(text: str | None, slot: np.ndarray) -> np.ndarray:
     return at[slot[at] == order]
 
 
+_MASK_BYTES = (1 << BITS) // 8
+
+
+def _packed(at: np.ndarray) -> bytes:
+    """Buckets as a sorted list or, where that is longer, as one bit for each."""
+    if 4 * len(at) < _MASK_BYTES:
+        return np.sort(at).astype("<i4").tobytes()
+    mask = np.zeros(1 << BITS, bool)
+    mask[at] = True
+    return np.packbits(mask).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, "<i4") if len(x) < _MASK_BYTES else np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))).astype(np.int32)
+
+
 @dataclass
 class QualityModel:
     ratio: np.ndarray  # class log-count ratio of each bucket
@@ -92,13 +108,15 @@ class QualityModel:
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         slot = np.zeros(1 << BITS, np.int32)
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            at = indicators(text, slot)
+        return self.margins_of(indicators(t, slot) for t in texts)
+
+    def margins_of(self, rows: Iterable[np.ndarray]) -> np.ndarray:
+        out = []
+        for at in rows:
             r = self.ratio[at]
             norm = float(np.sqrt(np.dot(r, r) + self.damp))
-            out[i] = self.bias + (float(self.weight[at].sum(dtype=np.float64)) / norm if len(at) else 0.0)
-        return out
+            out.append(self.bias + (float(self.weight[at].sum(dtype=np.float64)) / norm if len(at) else 0.0))
+        return np.array(out)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
@@ -152,10 +170,9 @@ def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def train(texts: list[str | None], labels: list[int], share: float, seed: int = 3) -> QualityModel:
+def train(rows: list[np.ndarray], labels: list[int], share: float, seed: int = 3) -> QualityModel:
+    """rows: the indicators of each text."""
     y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
-    slot = np.zeros(1 << BITS, np.int32)
-    rows = [indicators(t, slot) for t in texts]
     order = np.random.default_rng(seed).permutation(len(rows))
     cut = len(rows) // 4
     fold, learning = order[:cut], order[cut:]
@@ -170,16 +187,17 @@ def train(texts: list[str | None], labels: list[int], share: float, seed: int =
     w, b = dual_coordinate_descent([rows[i] for i in learning], [unit(rows[i]) for i in learning], y[learning], COST, EPOCHS, seed)
     model = QualityModel(ratio, (w * ratio).astype(np.float32), b, 1.0, 0.0, damp)
     if cut:
-        m = model.margins([texts[i] for i in fold])
+        m = model.margins_of([rows[i] for i in fold])
         good = (y[fold] > 0).mean()
         weight = np.where(y[fold] > 0, share / max(good, 1e-9), (1 - share) / max(1 - good, 1e-9))
         model.slope, model.shift = _logistic(m, y[fold], weight)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, span: int = SPAN) -> QualityModel | float:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> QualityModel | float:
     """Learn from labelled rows that aren't held out: a hash sample of about per_label rows of each
-    label. Returns the share of label 1 where there aren't both labels."""
+    label. The n-grams of their whole texts are found in the tasks; a row sends
+    2 ** BITS bits at most. Returns the share of label 1 where there aren't both labels."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     counts = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
@@ -190,13 +208,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, span: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # About 2 * per_label ids: a size that the parameter bounds, so it may be broadcast.
     rows = texts.join(F.broadcast(sample), "doc_id")
-    room = F.greatest(F.lit(1), F.length("text") - span)
-    place = F.coalesce(F.pmod(F.xxhash64(F.lit(9), F.col("doc_id")), room.cast("long")).cast("int"), F.lit(0)) + 1
-    got = rows.select("doc_id", "quality", F.substring("text", place, F.lit(span)).alias("text")).toPandas()
-    got = got.sort_values(["doc_id", "text"], na_position="first")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot = np.zeros(1 << BITS, np.int32)
+        for pdf in batches(it):
+            found = [_packed(indicators(t, slot)) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "found": pd.Series(found, dtype=object)})
+
+    got = rows.select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, found binary").toPandas()
+    got = got.sort_values(["doc_id", "found"])
     if got["quality"].nunique() < 2:
         return share
-    return train(got["text"].tolist(), got["quality"].tolist(), share)
+    return train([_unpacked(x) for x in got["found"]], got["quality"].tolist(), share)
 
 
 def score(docs: DataFrame, model: QualityModel | float) -> DataFrame:

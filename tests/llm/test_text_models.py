@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -112,3 +113,39 @@ def test_indicators_are_distinct():
     slot = np.zeros(1 << Q.BITS, np.int32)
     at = Q.indicators(prose(1, 500) * 3, slot)
     assert len(at) == len(set(at.tolist())) and len(Q.indicators("", slot)) == len(Q.indicators(None, slot)) == 0
+
+
+def test_packed_indicators():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 8191, 8192, 100_000):
+        at = np.sort(rng.permutation(1 << Q.BITS)[:n]).astype(np.int32)
+        packed = Q._packed(at)
+        assert np.array_equal(Q._unpacked(packed), at) and len(packed) <= (1 << Q.BITS) // 8
+
+
+def test_quality_equals_brute_force(spark):
+    """Scores of the whole texts, by plain sums over each text's own buckets; what lies beyond any
+    number of characters of a training text counts."""
+    rng = random.Random(6)
+    tail = lambda k: " ".join(["zq!"] * 40 if k % 2 else ["fine"] * 40)
+    rows = [(i, speech(EN, rng, 4000 if i < 60 else 30) + " " + tail(i), i % 2 ^ 1) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    model = Q.fit(docs, marks)
+    out = {r.doc_id: r for r in Q.score(docs, model).collect()}
+    assert np.mean([out[i].predicted == q for i, _, q in rows if out[i].held_out]) > 0.97
+    slot = np.zeros(1 << Q.BITS, np.int32)
+    for i, t, _ in rows[::37]:
+        at = sorted(set(Q.indicators(t, slot).tolist()))
+        total = sum(float(model.weight[k]) for k in at) / math.sqrt(sum(float(model.ratio[k]) ** 2 for k in at) + model.damp)
+        assert out[i].score == pytest.approx(1 / (1 + math.exp(-(model.slope * (model.bias + total) + model.shift))), rel=1e-4)
+
+
+def test_language_equals_brute_force(spark, language_model):
+    rows = [(i, speech((FR, EN)[i % 2], random.Random(i), 1 + i * 7 % 90)) for i in range(60)]
+    out = {r.doc_id: r for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), language_model).collect()}
+    for i, t in rows:
+        at, share = L._features(t)
+        z = (share.astype(np.float64) @ language_model.logits[at].astype(np.float64) + language_model.bias) / language_model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert out[i].lang_pred == language_model.langs[int(p.argmax())] and out[i].score == pytest.approx(p.max(), abs=2e-3)
