@@ -29,7 +29,7 @@ BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
 DIM = 16
 PER_LANG = 1500  # rows of the sample for each language
-SPAN = 6000  # characters of a sampled row that training uses, from a place chosen by its hash
+SHORTEST = 20  # characters of the shortest crops that training uses
 EPOCHS = 4
 RATE = 0.5
 REJECTED = 0.001  # share of right calibration rows that the threshold may reject
@@ -104,7 +104,8 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
-    """SGD over whole sampled spans and over short crops of them, so that short texts are met too."""
+    """SGD over the texts: in the first epoch whole, then crops of any length, at any place, so that
+    short texts are met too."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], np.int64)
     rng = np.random.default_rng(seed)
@@ -115,11 +116,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     w = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
     steps, step = EPOCHS * len(learning), 0
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
         for i in rng.permutation(learning):
             text = texts[i]
-            long = int(np.exp(rng.uniform(np.log(20), np.log(SPAN))))
-            if len(text) > long:
+            if epoch and len(text) > SHORTEST:
+                long = int(np.exp(rng.uniform(np.log(SHORTEST), np.log(len(text)))))
                 s = int(rng.integers(0, len(text) - long + 1))
                 text = text[s : s + long]
             at, c = _features(text)
@@ -149,15 +150,12 @@ def _calibrate(model: LanguageModel, texts: list[str], y: np.ndarray) -> None:
     model.threshold = float(min(np.quantile(right, REJECTED), even + 0.5 * (1 - even))) if len(right) else even
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, span: int = SPAN) -> LanguageModel | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel | None:
     """Learn from non-null text and lang of rows that aren't held out: a hash sample of about
-    per_lang rows of each language, of each a span of at most `span` characters."""
+    per_lang rows of each language, with their whole texts."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = bounded_sample(rows, "lang", per_lang)
-    room = F.greatest(F.lit(1), F.length("text") - span)
-    place = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), room.cast("long")).cast("int") + 1
-    got = sample.select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(span)).alias("text")).toPandas()
+    got = bounded_sample(rows, "lang", per_lang).select("doc_id", "lang", "text").toPandas()
     got = got.loc[np.array([bool(_LETTER.search(t)) for t in got["text"]], bool)].sort_values(["doc_id", "text"])
     if not len(got):
         return None
