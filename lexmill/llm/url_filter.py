@@ -5,6 +5,11 @@ decides. Other URLs are scored: concatenated host names are split into words by
 search, and multinomial naive Bayes scores the words of host and path. Its classes are learned from
 the URLs that the rules decide; the unigram counts come from the texts of all pages.
 
+All words and all tokens count. Hosts are split once each: a table of the distinct hosts meets those
+words that occur in any of their names. What the tasks are sent is bounded: beyond SENT rows, words,
+hosts and token odds are joined instead, with the same result. A name of more than 63 letters, which
+is more than a host name's part can have, is one word.
+
 Defined results: a null URL, or one without `://`, has empty host and path, no tokens, and the
 verdict of the class shares alone; where the rules decide no URL of one class, every other URL is
 allowed; a score tie allows; repeated rows are judged alike; an empty table gives no rows; a null
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialise
+from .common import batches, hot_keys, materialise, spread_join
 
 RULES = (
     ("com/en/", "block"),
@@ -32,13 +37,14 @@ RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-LEXICON = 50_000  # words of the unigram model: the most frequent of all pages
-VOCABULARY = 50_000  # tokens of the naive Bayes model: the most frequent of all URLs
-LONGEST_WORD = 24
+SENT = 100_000  # rows of words, hosts or tokens that may be sent to every task
+LONGEST_NAME = 63  # letters of a part of a host name
 SMOOTH = 1.0
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_NOT_TEXT = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
+_UNSEEN = re.compile(r"<(script|style)\b|<!--", re.I)
+_CLOSING = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "": re.compile("-->")}
+_MARKUP = re.compile(r"<[^<>]*>|&#?\w+;")
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[^\W_]+")
 
@@ -73,59 +79,72 @@ class Rules:
 
 
 class Segmenter:
-    """Unigram Viterbi: the split of a name into words that the unigram model finds likeliest."""
+    """Unigram Viterbi: the split of a name into words that the unigram model finds likeliest. counts:
+    the words that may occur in the names; total: of all words."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) or 1
         self.logp = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(1 / total) if total > 1 else math.log(0.1)
-        self.seen: dict[str, tuple[str, ...]] = {}
 
     def cost(self, word: str) -> float:
         # A word that isn't known is the less likely the longer it is.
         return self.logp.get(word, self.unknown - 1 - 2.3 * len(word))
 
     def split(self, name: str) -> tuple[str, ...]:
-        if name in self.seen:
-            return self.seen[name]
+        if len(name) > LONGEST_NAME:
+            return (name,)
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            score, start = max((best[s] + self.cost(name[s:end]), s) for s in range(max(0, end - LONGEST_WORD), end))
+            score, start = max((best[s] + self.cost(name[s:end]), s) for s in range(end))
             best.append(score)
             back.append(start)
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
             end = back[end]
-        if len(self.seen) > 100_000:
-            self.seen.clear()
-        self.seen[name] = tuple(reversed(out))
-        return self.seen[name]
+        return tuple(reversed(out))
+
+
+def _runs(text: str) -> Iterator[str]:
+    """Runs of digits and of other word characters."""
+    for part in _PART.findall(text.lower()):
+        yield from re.findall(r"\d+|\D+", part)
+
 
+def path_tokens(path: str) -> list[str]:
+    """Words of the path; numbers count by their length."""
+    return [f"p:#{len(r)}" if r[0].isdigit() else "p:" + r for r in _runs(path)]
 
-def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Words of the host (marked h:) and of the path (p:); numbers count by their length."""
+
+def host_tokens(host: str, segmenter: Segmenter) -> list[str]:
     out = []
-    for mark, text in (("h:", host), ("p:", path)):
-        for part in _PART.findall(text.lower()):
-            for run in re.findall(r"\d+|\D+", part):
-                if run[0].isdigit():
-                    out.append(f"{mark}#{len(run)}")
-                else:
-                    out += [mark + w for w in (segmenter.split(run) if mark == "h:" else (run,))]
+    for r in _runs(host):
+        out += [f"h:#{len(r)}"] if r[0].isdigit() else ["h:" + w for w in segmenter.split(r)]
     return out
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """Counts of the `size` most frequent words of all pages' texts. Each task sends what it counted
-    per batch of rows, so that words are pre-aggregated before the shuffle."""
+def visible(html: str) -> str:
+    """The text of a page with its markup, scripts and character references as blanks."""
+    out, at = [], 0
+    while m := _UNSEEN.search(html, at):
+        out.append(html[at : m.start()])
+        end = _CLOSING[(m[1] or "").lower()].search(html, m.end())
+        at = end.end() if end else len(html)
+    out.append(html[at:])
+    return _MARKUP.sub(" ", " ".join(out))
+
+
+def lexicon(pages: DataFrame) -> DataFrame:
+    """word, n: how often each word occurs in all pages' texts. Each task sends what it counted, so
+    that words are pre-aggregated before the shuffle."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter[str] = Counter()
         for pdf in batches(it):
             for html in pdf["html"].array:
                 if html:
-                    found.update(_WORD.findall(_NOT_TEXT.sub(" ", html).lower()))
+                    found.update(_WORD.findall(visible(html).lower()))
             if len(found) > 500_000:
                 yield pd.DataFrame({"word": list(found), "n": list(found.values())})
                 found.clear()
@@ -133,88 +152,145 @@ def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
             yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     counts = pages.select(F.col("html").cast("string")).mapInPandas(run, "word string, n long")
-    # Longer words are never used.
-    totals = counts.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in most_frequent(materialise(totals, "words"), "n", "word", size)}
-
-
-def most_frequent(rows: DataFrame, n: str, name: str, size: int) -> list:
-    """The `size` rows of greatest n, collected; ties at the edge go by name. A histogram of n tells
-    the edge first, so that the driver gets these rows only, not as many from every task."""
-    held, edge = 0, None
-    steps = rows.groupBy(F.col(n).alias("_n")).agg(F.count("*").alias("_rows"))
-    for r in steps.orderBy(F.desc("_n")).limit(size).collect():
-        held, edge = held + r["_rows"], r["_n"]
-        if held >= size:
-            break
-    if edge is None:
-        return []
-    above = rows.filter(F.col(n) > edge).collect()
-    at_edge = rows.filter(F.col(n) == edge).orderBy(name).limit(size - len(above)).collect()
-    return above + at_edge
-
+    return materialise(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes as log odds for block."""
-
-    prior: float
-    odds: dict[str, float]
 
-    def score(self, found: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in found)
+def observed(pages: DataFrame, rules: Rules) -> DataFrame:
+    """host, verdict, token, n: pages by host and the rules' verdict (empty: none; token null), and
+    the decided pages' path tokens by verdict (host null)."""
 
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[tuple[str | None, str, str | None]] = Counter()
 
-def learn(pages: DataFrame, rules: Rules, segmenter: Segmenter, size: int = VOCABULARY) -> Bayes:
-    """Token counts of all URLs that the rules decide."""
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "verdict", "token", "n"])
+            found.clear()
+            return out
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[tuple[str, str]] = Counter()
         for pdf in batches(it):
             for url in pdf["url"].array:
                 host, path = split_url(url)
                 verdict = rules.decide(host, path)[1]
+                found[host, verdict or "", None] += 1
                 if verdict:
-                    found[verdict, ""] += 1  # the class itself
-                    for t in tokens(host, path, segmenter):
-                        found[verdict, t] += 1
+                    for t in path_tokens(path):
+                        found[None, verdict, t] += 1
+            if len(found) > 500_000:
+                yield flush()
         if found:
-            yield pd.DataFrame([(v, t, n) for (v, t), n in found.items()], columns=["verdict", "token", "n"])
+            yield flush()
 
-    counts = pages.select(F.col("url").cast("string")).mapInPandas(run, "verdict string, token string, n long")
-    per = counts.groupBy("token").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")))
-    rows = per.orderBy(F.desc(F.col("allow") + F.col("block")), "token").limit(size + 1).collect()
-    whole = {r["token"]: (r["allow"], r["block"]) for r in rows}
-    allow, block = whole.pop("", (0, 0))
-    if not allow or not block:
-        return Bayes(-math.inf, {})
-    a, b = (sum(x[k] for x in whole.values()) + SMOOTH * len(whole) for k in (0, 1))
-    odds = {t: math.log((y + SMOOTH) / b) - math.log((x + SMOOTH) / a) for t, (x, y) in whole.items()}
-    return Bayes(math.log(block / allow), odds)
+    rows = pages.select(F.col("url").cast("string")).mapInPandas(run, "host string, verdict string, token string, n long")
+    return materialise(rows.groupBy("host", "verdict", "token").agg(F.sum("n").alias("n")), "observed")
 
 
-def judge(pages: DataFrame, rules: Rules, segmenter: Segmenter, bayes: Bayes) -> DataFrame:
-    """page_id, host, path, rule, verdict, words, score: one row a page."""
+_SPLIT = "host string, n long, tokens array<string>"
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def split_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """host, n, tokens of the distinct hosts (host, n), by the counts of words."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+
+    def parts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(it):
             rows = []
-            for page, url in zip(pdf["page_id"].array, pdf["url"].array):
-                host, path = split_url(url)
-                rule, verdict = rules.decide(host, path)
-                found = tokens(host, path, segmenter)
-                score = bayes.score(found)
-                words = " ".join(t[2:] for t in found if t.startswith("h:"))
-                rows.append((page, host, path, rule, verdict or ("block" if score > 0 else "allow"), words, score))
-            out = pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict", "words", "score"])
-            out["page_id"] = out["page_id"].astype("Int64")
-            yield out
+            for host in pdf["host"]:
+                names = {r for r in _runs(host) if not r[0].isdigit() and len(r) <= LONGEST_NAME}
+                rows += [(host, w) for w in {r[i:j] for r in names for i in range(len(r)) for j in range(i + 1, len(r) + 1)}]
+            yield pd.DataFrame(rows, columns=["host", "word"])
+
+    inside = materialise(hosts.select("host").mapInPandas(parts, "host string, word string"), "parts")
+    uses = inside.groupBy("word").agg(F.count("*").alias("uses"))
+    known = materialise(uses.join(words, "word"), "known")
+    few = known.limit(SENT + 1).count() <= SENT
+    counts = {r["word"]: r["n"] for r in known.collect()} if few else None
+    if few:
+        rows = hosts
+    else:
+        held = spread_join(inside, known, ["word"], hot_keys(known, ["word"], "uses"))
+        rows = hosts.join(held.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("word", F.col("n")))).alias("words")), "host", "left")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = Segmenter(counts, total) if few else None
+        for pdf in batches(it):
+            own = [whole] * len(pdf) if few else [Segmenter(dict(w) if w is not None else {}, total) for w in pdf["words"]]
+            yield pd.DataFrame({"host": pdf["host"], "n": pdf["n"], "tokens": [host_tokens(h, s) for h, s in zip(pdf["host"], own)]})
+
+    return materialise(rows.mapInPandas(run, _SPLIT), "hosts")
+
+
+def token_odds(seen: DataFrame, hosts: DataFrame) -> tuple[float, DataFrame]:
+    """The prior log odds for block, and token, odds: multinomial naive Bayes over the tokens of all URLs
+    that the rules decide. Without one of the classes the prior is minus infinity."""
+    decided = seen.filter("verdict <> ''")
+    classes = {r[0]: r[1] for r in decided.filter("token is null").groupBy("verdict").agg(F.sum("n")).collect()}
+    of_hosts = decided.filter("token is null").select("host", "verdict", F.col("n").alias("pages")).join(hosts.select("host", "tokens"), "host")
+    of_hosts = of_hosts.select("verdict", F.explode("tokens").alias("token"), F.col("pages").alias("n"))
+    both = decided.filter("token is not null").select("verdict", "token", "n").unionByName(of_hosts)
+    per = both.groupBy("token").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")))
+    per = materialise(per, "tokens")
+    size, a, b = per.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
+    allow, block = classes.get("allow", 0), classes.get("block", 0)
+    if not allow or not block:
+        return -math.inf, per.select("token", F.lit(0.0).alias("odds"))
+    log = lambda n, whole: F.log((F.col(n) + SMOOTH) / F.lit((whole or 0) + SMOOTH * size))
+    return math.log(block / allow), per.select("token", (log("block", b) - log("allow", a)).alias("odds"))
 
+
+_JUDGED = "page_id long, host string, path string, rule string, verdict string, words string, score double"
+
+
+def judge(pages: DataFrame, rules: Rules, hosts: DataFrame, prior: float, odds: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict, words, score: one row a page."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
-    return rows.mapInPandas(run, "page_id long, host string, path string, rule string, verdict string, words string, score double")
+    words = F.array_join(F.transform(F.filter("tokens", lambda t: t.startswith("h:")), lambda t: F.substring(t, F.lit(3), F.length(t))), " ")
+    mine = hosts.select("host", F.explode("tokens").alias("token")).join(odds, "token", "left").groupBy("host").agg(F.sum(F.coalesce("odds", F.lit(0.0))).alias("host_score"))
+    scored = materialise(hosts.select("host", "n", words.alias("words")).join(mine, "host", "left"), "scored")
+    if scored.count() <= SENT and odds.count() <= SENT:
+        by_host = {r["host"]: (r["words"], r["host_score"] or 0.0) for r in scored.collect()}
+        by_token = {r["token"]: r["odds"] for r in odds.filter("token like 'p:%'").collect()}
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches(it):
+                out = []
+                for page, url in zip(pdf["page_id"].array, pdf["url"].array):
+                    host, path = split_url(url)
+                    rule, verdict = rules.decide(host, path)
+                    named, score = by_host[host]
+                    score = prior + score + sum(by_token.get(t, 0.0) for t in path_tokens(path))
+                    out.append((page, host, path, rule, verdict or ("block" if score > 0 else "allow"), named, score))
+                yield _frame(out, _JUDGED)
+
+        return rows.mapInPandas(run, _JUDGED)
+
+    def parts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches(it):
+            out = []
+            for page, url in zip(pdf["page_id"].array, pdf["url"].array):
+                host, path = split_url(url)
+                out.append((page, host, path, *rules.decide(host, path), path_tokens(path)))
+            yield _frame(out, cut)
+
+    cut = "page_id long, host string, path string, rule string, verdict string, tokens array<string>"
+    found = materialise(rows.mapInPandas(parts, cut).withColumn("_row", F.monotonically_increasing_id()), "urls")
+    of_path = found.select("_row", F.explode("tokens").alias("token"))
+    uses = of_path.groupBy("token").agg(F.count("*").alias("uses"))
+    of_path = spread_join(of_path, odds, ["token"], hot_keys(uses, ["token"], "uses"))
+    of_path = of_path.groupBy("_row").agg(F.sum("odds").alias("path_score"))
+    both = spread_join(found.drop("tokens"), scored.drop("n"), ["host"], hot_keys(scored, ["host"], "n"), "left").join(of_path, "_row", "left")
+    score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
+    verdict = F.coalesce("verdict", F.when(score > 0, "block").otherwise("allow"))
+    return both.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "words", score.alias("score"))
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    out["page_id"] = out["page_id"].astype("Int64")
+    return out
 
 
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     known = Rules(rules)
-    segmenter = Segmenter(lexicon(pages))
-    return judge(pages, known, segmenter, learn(pages, known, segmenter))
+    seen = observed(pages, known)
+    hosts = split_hosts(seen.filter("token is null").groupBy("host").agg(F.sum("n").alias("n")), lexicon(pages))
+    return judge(pages, known, hosts, *token_odds(seen, hosts))

@@ -212,7 +212,7 @@ def test_segmentation_is_the_likeliest_split():
         assert abs(cost(seg.split(name)) - max(map(cost, splits(name)))) < 1e-9
 
 
-def test_url_verdicts_equal_brute_force(spark):
+def test_url_verdicts_equal_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     rows = []
     for i in range(400):
@@ -220,13 +220,16 @@ def test_url_verdicts_equal_brute_force(spark):
         rows.append((i, f"http://{rng.choice(['cheappills', 'goodbooks', 'www.casino', 'x.example'])}.{tld}/{lang}/{rng.randrange(99)}", "<p>cheap pills good books casino</p>"))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     out = {r.page_id: r for r in U.url_filter(pages).collect()}
-    seg, rules = U.Segmenter(U.lexicon(pages)), U.Rules(U.RULES)
+    monkeypatch.setattr(U, "SENT", 1)  # all by joins
+    again = {r.page_id: r for r in U.url_filter(pages).collect()}
+    assert all((r.verdict, r.words, r.rule) == (again[i].verdict, again[i].words, again[i].rule) and abs(r.score - again[i].score) < 1e-9 for i, r in out.items())
+    seg, rules = U.Segmenter({r.word: r.n for r in U.lexicon(pages).collect()}), U.Rules(U.RULES)
     assert seg.split("cheappills") == ("cheap", "pills")
     import math
     from collections import Counter
 
     count, classes = {"allow": Counter(), "block": Counter()}, Counter()
-    seen = {i: (rules.decide(*U.split_url(u)), U.tokens(*U.split_url(u), seg)) for i, u, _ in rows}
+    seen = {i: (rules.decide(*U.split_url(u)), U.host_tokens(U.split_url(u)[0], seg) + U.path_tokens(U.split_url(u)[1])) for i, u, _ in rows}
     for (_, verdict), found in seen.values():
         if verdict:
             classes[verdict] += 1
@@ -238,7 +241,16 @@ def test_url_verdicts_equal_brute_force(spark):
             total = sum(count[c].values()) + len(words)
             score[c] = math.log(classes[c] / sum(classes.values())) + sum(math.log((count[c][t] + 1) / total) for t in found if t in words)
         want = verdict or ("block" if score["block"] > score["allow"] else "allow")
-        assert (out[i].rule, out[i].verdict) == (rule, want)
+        assert (out[i].rule, out[i].verdict) == (rule, want) and out[i].score == pytest.approx(score["block"] - score["allow"], abs=1e-9)
+
+
+def test_rare_words_and_long_names_count(spark):
+    """The lexicon has no cut: a word met once splits a name; a name too long for a host is one word."""
+    html = "<script>if (a<b) x</script>" + " ".join(f"w{'abcdefghij'[k % 10]}{k}" for k in range(3000)) + " common " * 50 + "<style>p</style>zebrafish <!-- hidden"
+    rows = [(1, "http://commonzebrafish.net/de/1", html), (2, "http://" + "a" * 5000 + ".com/en/", None), (3, "http://x/" + "longpath/" * 3000, "")]
+    got = {r.page_id: r.words for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "common zebrafish net" and got[2].split()[0] == "a" * 5000
+    assert U.visible("<" * 100_000 + "<script>" * 1000).strip("< ") == ""
 
 
 def test_urls_over_odd_pages(pages):
