@@ -1,17 +1,20 @@
 """WARC derivative builder: from response records, linked metadata and plain-text conversion records.
 
 A response record gives a metadata record (fields of the fetch and of the page: status, type,
-charset, title, outlinks) and a conversion record (the page's plain text). Both name the response
+charset, title, outlinks, and all other header fields of the record and of the HTTP response) and a conversion record (the page's plain text). Both name the response
 by WARC-Refers-To; target URI, date and the response's digests go
 on as source headers; each has its own block digest (sha1, base 32) and a record id derived from the
-response's id, so that a repeated run writes the same records.
+response's id. A response's id derives from its page's columns; where rows are repeated, from their
+places in the table too, as ids must be unique. So a repeated run over the same files writes the same
+records.
 
 Records are values: header block, payload and digests. responses() reads them from WARC files, plain or
 gzipped by record, from_pages() makes them from a table of pages, to_files() writes records back.
+Files are read and written as streams, by URI (local files, HDFS, object stores), a record at a time.
 
 Defined results: a response that isn't HTTP or not text gets a metadata record, and a conversion
 record of empty text only if it is text; null html is an empty payload; a null URL has no target
-URI header; repeated rows give equal records; a damaged record in a file ends that file's reading
+URI header; repeated rows give records that differ in their ids only; texts of any length are kept whole; a damaged record in a file ends that file's reading
 with the records before it; an empty table gives no rows; null page ids stay null; extra columns
 are ignored.
 """
@@ -30,10 +33,11 @@ from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, materialise, small_side
 from .html_extract import INLINE, Node, parse
 
 VERSION = "WARC/1.1"
@@ -81,10 +85,11 @@ def record(page, kind, rid, refers, uri, date, ctype, block, payload=None, sourc
     return (page, kind, rid, refers, uri, date, ctype, len(block), own, held, *source, headers, block)
 
 
-def response(page, url: str | None, html: str | None, date: str = DATE) -> tuple:
+def response(page, url: str | None, html: str | None, date: str = DATE, place: str | None = None) -> tuple:
+    """place: tells rows apart that are equal otherwise."""
     payload = (html or "").encode("utf-8", "surrogatepass")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    rid = record_id("response", page, url, digest(payload))
+    rid = record_id("response", page, url, digest(payload), *([place] if place else []))
     return record(page, "response", rid, None, url, date, "application/http; msgtype=response", head + payload, payload)
 
 
@@ -117,7 +122,7 @@ def _unchunk(body: bytes) -> bytes:
 
 def decode(payload: bytes, content_type: str) -> tuple[str, str]:
     """(text, charset): by the header, else by a meta element, else UTF-8."""
-    m = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I) or re.search(r"<meta[^>]+charset=[\"']?([\w.:-]+)", payload[:4096].decode("latin-1"), re.I)
+    m = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I) or re.search(r"<meta[^<>]+charset=[\"']?([\w.:-]+)", payload.decode("latin-1"), re.I)
     charset = m[1].lower() if m else "utf-8"
     try:
         return payload.decode(charset, "replace"), charset
@@ -172,7 +177,20 @@ def page_parts(html: str, base: str) -> tuple[str, str, list[str]]:
     return " ".join(unescape(title[0]).split()) if title else "", "\n".join(lines), list(links)
 
 
-def derive(page, rid: str, uri: str | None, date: str, block: bytes, block_digest: str | None, payload_digest: str | None) -> list[tuple]:
+#: Header fields of a response that its metadata record has in another way.
+_OWN = frozenset("warc-type warc-record-id warc-target-uri warc-date warc-block-digest warc-payload-digest content-type content-length".split())
+
+
+def source_headers(headers: str | None, block: bytes, http: bool) -> list[tuple[str, str]]:
+    """The remaining header fields of a response record and of the HTTP response in it, as they stand."""
+    lines = [x.strip() for x in (headers or "").split("\n")[1:]]
+    out = [("warc-header", x) for x in lines if ":" in x and x.split(":")[0].strip().lower() not in _OWN]
+    if http:
+        out += [("http-header", x) for x in block.partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")[1:] if x]
+    return out
+
+
+def derive(page, rid: str, uri: str | None, date: str, block: bytes, block_digest: str | None, payload_digest: str | None, headers: str | None = None) -> list[tuple]:
     """The metadata record and, for text, the conversion record of a response."""
     http = split_http(block)
     status, fields, payload = http or ("", {}, block)
@@ -187,6 +205,7 @@ def derive(page, rid: str, uri: str | None, date: str, block: bytes, block_diges
         title, plain, links = page_parts(body, uri or "") if "html" in kind or not kind else ("", body, [])
         notes += [("charset", charset), ("title", title), ("text-digest", digest(plain.encode("utf-8", "surrogatepass")))]
         notes += [("outlink", x) for x in links]
+    notes += source_headers(headers, block, http is not None)
     lines = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', str(v))}\r\n" for k, v in notes if v not in (None, ""))
     out = [record(page, "metadata", record_id("metadata", rid), rid, uri, date, "application/warc-fields", lines.encode("utf-8", "surrogatepass"), None, source)]
     if text:
@@ -204,33 +223,45 @@ def from_pages(pages: DataFrame) -> DataFrame:
     """A response record for every row of a table of pages."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, k = TaskContext.get().partitionId(), 0
         for pdf in batches(it):
-            yield _frame([response(*r) for r in zip(pdf["page_id"].array, pdf["url"].array, pdf["html"].array)])
+            again = pdf["again"].fillna(False) if "again" in pdf else [False] * len(pdf)
+            rows = []
+            for page, url, html, twice in zip(pdf["page_id"].array, pdf["url"].array, pdf["html"].array, again):
+                rows.append(response(page, url, html, place=f"{part}/{k}" if twice else None))
+                k += 1
+            yield _frame(rows)
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    key = F.xxhash64("page_id", "url", "html").alias("key")
+    repeated = materialise(rows.groupBy(key).count().filter("count > 1").select("key", F.lit(True).alias("again")), "repeated")
+    if not repeated.isEmpty():
+        rows = rows.withColumn("key", key).join(small_side(repeated), "key", "left").drop("key")
     return rows.mapInPandas(run, RECORD)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of every response among records."""
+    need = ["page_id", "record_id", "target_uri", "date", "block", "block_digest", "payload_digest", "headers"]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(it):
             rows = []
-            for r in zip(*(pdf[c].array for c in ("page_id", "record_id", "target_uri", "date", "block", "block_digest", "payload_digest"))):
+            for r in zip(*(pdf[c].array for c in need)):
                 rows += derive(*r)
             yield _frame(rows)
 
-    need = ["page_id", "record_id", "target_uri", "date", "block", "block_digest", "payload_digest"]
     return records.filter(F.col("record_type") == "response").select(*need).mapInPandas(run, RECORD)
 
 
 # --- files ---
 
 
-def read_records(data: bytes) -> Iterator[tuple]:
-    """Rows of RECORD from the bytes of a WARC file, gzipped or not."""
-    stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)  # type: ignore[assignment]
+def read_records(source: bytes | io.RawIOBase) -> Iterator[tuple]:
+    """Rows of RECORD from a WARC file, gzipped or not: its bytes, or a stream of them."""
+    stream = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source, 1 << 20)  # type: ignore[arg-type]
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)  # type: ignore[assignment]
     try:
         while True:
             line = stream.readline()
@@ -257,45 +288,55 @@ def read_records(data: bytes) -> Iterator[tuple]:
         return
 
 
+def _open(uri: str):
+    """(file system, path) of a URI as Hadoop writes it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
 def responses(spark: SparkSession, path: str) -> DataFrame:
-    """All records of WARC files; a file is one task's, as record borders can't be found midway."""
+    """All records of WARC files; a file is one task's, as record borders can't be found midway. Only the
+    files' names go through the plan: their content is streamed in the tasks."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(it):
-            for data in pdf["content"].array:
+            for uri in pdf["path"].array:
+                files, name = _open(uri)
                 rows: list[tuple] = []
-                for r in read_records(bytes(data)):
-                    rows.append(r)
-                    if len(rows) == 500:
-                        yield _frame(rows)
-                        rows = []
+                held = 0
+                with files.open_input_stream(name, compression=None) as stream:
+                    for r in read_records(stream):
+                        rows.append(r)
+                        held += r[7]
+                        if len(rows) == 500 or held > 16 << 20:
+                            yield _frame(rows)
+                            rows, held = [], 0
                 if rows:
                     yield _frame(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, RECORD)
 
 
 def to_files(records: DataFrame, path: str) -> None:
-    """Write records as gzipped WARC members, one file for each partition."""
-    target = path.removeprefix("file://")
+    """Write records as gzipped WARC members, one file for each partition. A task writes under another
+    name first, so that one that is run again replaces its file whole."""
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    target = system.makeQualified(folder).toString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches(it):
-            yield pd.DataFrame({"value": [base64.b64encode(gzip.compress(h.encode() + bytes(b) + b"\r\n\r\n", mtime=0)).decode() for h, b in zip(pdf["headers"], pdf["block"])]})
-
-    members = records.select("headers", "block").mapInPandas(run, "value string")
-
-    def write(rows) -> None:
-        from pathlib import Path
-
-        from pyspark import TaskContext
-
-        out = Path(target, f"part-{TaskContext.get().partitionId():05d}.warc.gz")
-        out.parent.mkdir(parents=True, exist_ok=True)
-        part = out.with_name(f".{out.name}.{uuid.uuid4().hex}")  # a retried task replaces the file whole
-        with part.open("wb") as f:
-            for r in rows:
-                f.write(base64.b64decode(r["value"]))
-        part.replace(out)
-
-    members.foreachPartition(write)
+        files, folder = _open(target)
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.gz"
+        part, n = f"{folder}/.{uuid.uuid4().hex}", 0
+        with files.open_output_stream(part, compression=None) as out:
+            for pdf in batches(it):
+                for h, b in zip(pdf["headers"], pdf["block"]):
+                    out.write(gzip.compress(h.encode() + bytes(b) + b"\r\n\r\n", mtime=0))
+                    n += 1
+        files.move(part, name)
+        yield pd.DataFrame({"file": [name], "records": [n]})
+
+    records.select("headers", "block").mapInPandas(run, "file string, records long").write.format("noop").mode("overwrite").save()

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import json
 import random
@@ -268,6 +269,7 @@ def test_warc_round_trip(spark, pages, tmp_path):
     assert key(W.derivatives(back)) == key(W.derivatives(made))
     rows = W.derivatives(made).collect()
     assert len(rows) == 2 * len(PAGES)
+    assert len({r.record_id for r in rows}) == len(rows) and made.select("record_id").distinct().count() == len(PAGES)
     source = {r.record_id: r for r in made.collect()}
     for r in rows:
         s = source[r.refers_to]
@@ -281,15 +283,41 @@ def test_warc_round_trip(spark, pages, tmp_path):
 
 def test_warc_files_that_others_wrote():
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>\xe9x\r\n4\r\n</p>\r\n0\r\n\r\n"
-    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-Target-URI: http://h/\r\nContent-Length: {len(http)}\r\n\r\n".encode()
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-Target-URI: http://h/\r\nWARC-IP-Address: 1.2.3.4\r\nContent-Length: {len(http)}\r\n\r\n".encode()
     (r,) = W.read_records(head + http + b"\r\n\r\n" + b"WARC/1.0\r\nContent-Length: 99\r\n\r\ncut")
     meta, conv = W.derive(None, r[2], r[4], r[5], r[13], r[8], r[9])
+    assert b"http-header: Transfer-Encoding: chunked" in meta[-1] and b"warc-header: WARC-IP-Address: 1.2.3.4" in W.derive(None, *(r[k] for k in (2, 4, 5, 13, 8, 9)), r[12])[0][-1]
     assert conv[-1].decode() == "éx" and conv[3] == "<urn:x>" and b"charset: latin-1" in meta[-1]
     image = W.derive(None, "<i>", "http://h/i", None, b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG", None, None)
     assert [x[1] for x in image] == ["metadata"]
     assert list(W.read_records(b"\x1f\x8bbroken")) == list(W.read_records(b"")) == []
 
 
+def test_derivatives_equal_brute_force(spark):
+    """From pages built of known parts: texts, links, titles and digests, counted by hand."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for k in range(40):
+        words = [[rng.choice(WORDS) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 4))]
+        links = [f"/{rng.randrange(5)}" for _ in range(rng.randint(0, 4))]
+        html = f"<head><title>T {k}</title></head>" + "".join(f"<p>{' '.join(w)}</p>" for w in words) + "".join(f'<a href="{x}">l</a>' for x in links) + "<!--" + "x" * 5000 + "--><script>no</script>"
+        rows.append((k, f"http://h.org/a/{k}", html))
+        text = "\n".join([" ".join(w) for w in words] + (["l" * len(links)] if links else []))
+        want[k] = text, f"T {k}", [f"http://h.org{x}" for x in dict.fromkeys(links)]
+    made = W.from_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for r in W.derivatives(made).collect():
+        text, title, links = want[r.page_id]
+        block = bytes(r.block).decode()
+        if r.record_type == "conversion":
+            assert block == text and r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+        else:
+            lines = block.split("\r\n")
+            assert f"title: {title}" in lines and [x[9:] for x in lines if x.startswith("outlink: ")] == links
+            assert r.source_payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(rows[r.page_id][2].encode()).digest()).decode()
+    late = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b" " * 9000 + b"<meta charset=latin-1>\xe9"
+    assert W.derive(None, "<i>", None, None, late, None, None)[1][-1].decode() == "é"
+
+
 _TEXT = st.text(st.sampled_from(list("<|>/s[]INTSYturnexd \x1bce\né")), max_size=30)
 
 
@@ -316,9 +344,22 @@ def test_chat_round_trip(turns):
 )
 def test_layouts(record, layout, turns):
     known = C.registry()
-    mark, got = C.canonical(json.dumps(record), known)
-    assert got == turns and (known[mark].name if mark in known else None) == layout
-    assert C.canonical("not json", known) == C.canonical(None, known) == (None, [])
+    _, name, got, rest = C.canonical(json.dumps(record), known)
+    assert got == turns and name == layout and (rest == []) == (layout is not None)
+    assert C.canonical("not json", known) == C.canonical(None, known) == (None, None, [], [])
+
+
+@pytest.mark.parametrize(
+    "record, layout, turns, rest",
+    [
+        ({"messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "model", "content": "b"}]}, "messages", [("user", "a"), ("assistant", "b")], ["messages[].name"]),
+        ({"question": "q", "answer": "a", "context": "c", "score": 3}, "question", [("user", "c"), ("user", "q"), ("assistant", "a")], ["score"]),
+        ({"turns": [{"role": "human", "text": "a"}]}, "turn rows", [("human", "a")], []),
+        ({"prompt": "p", "notes": {"deep": ["x"]}}, None, [], ["notes.deep[]", "prompt"]),
+    ],
+)
+def test_no_text_goes_unseen(record, layout, turns, rest):
+    assert C.canonical(json.dumps(record), C.registry())[1:] == (layout, turns, rest)
 
 
 def test_canonical_turns(spark):
