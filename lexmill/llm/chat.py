@@ -2,14 +2,16 @@
 
 A record's layout is the sorted list of its nested field paths (array elements as []); the hash of
 that list picks a declarative mapping, which says where the turns are and which fields hold role
-and text. Every mapping yields canonical turns (role, text); a template then marks each turn and
+and text. A layout with more fields than a mapping names is taken by the mapping that covers most of
+it, by the fingerprint of that part; what isn't mapped is listed, so no text goes unseen. Every mapping yields canonical turns (role, text); a template then marks each turn and
 escapes control strings inside texts, reversibly, and a loss mask covers the assistants' texts.
 
 A turn is written as `<|turn|>` role `<|text|>` text `<|end|>`. Inside roles and texts every control
 string (this template's and those of other common templates) is broken up by an escape character
 after its first character, and the escape character itself is escaped: unescape() restores the text.
 
-Defined results: a null text or role is empty; an empty conversation table gives no rows; rows
+Defined results: a null text or role is empty; texts of any length are kept whole; roles of a table of
+turns stay as they stand, those of other layouts get their canonical names; an empty conversation table gives no rows; rows
 with equal turn numbers are ordered by role, then text; repeated rows are repeated turns; rows with
 a null conv_id form one conversation of id null; extra columns are ignored.
 """
@@ -53,8 +55,9 @@ def fingerprint(paths: set[str]) -> str:
 @dataclass(frozen=True)
 class Mapping:
     """Where a layout keeps its turns. turns: path of a list of turn objects, with the fields of
-    role and text in each, or None; fields: (path, role) of single texts, in order. Fields of the
-    layout that are named in neither are allowed by `optional`."""
+    role and text in each, or None; before and fields: (path, role) of single texts, in order, those
+    of `before` optional. Other fields, which hold no text of a turn, are allowed by `optional`.
+    rename: whether roles get their canonical names."""
 
     name: str
     turns: str | None = None
@@ -63,6 +66,11 @@ class Mapping:
     before: tuple[tuple[str, str], ...] = ()
     fields: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ()
+    rename: bool = True
+
+    def paths(self) -> set[str]:
+        """All paths that this mapping names."""
+        return set().union(*self.layouts())
 
     def layouts(self) -> list[set[str]]:
         """Every set of paths that this mapping covers."""
@@ -85,7 +93,9 @@ class Mapping:
             if v not in (None, "") or path not in self.optional:
                 out.append((role, _text(v)))
         if self.turns is not None:
-            out += [(ROLES.get(_text(t.get(self.role)).lower(), _text(t.get(self.role))), _text(t.get(self.text))) for t in _at(record, self.turns) or []]
+            for t in _at(record, self.turns) or []:
+                role = _text(t.get(self.role))
+                out.append((ROLES.get(role.lower(), role) if self.rename else role, _text(t.get(self.text))))
         return out
 
 
@@ -105,13 +115,13 @@ META = ("id", "source", "lang")
 
 MAPPINGS = (
     Mapping("messages", turns="messages", before=(("system", "system"),), optional=META),
-    Mapping("turn rows", turns="turns", text="text", before=(("system", "system"),), optional=META),
+    Mapping("turn rows", turns="turns", text="text", before=(("system", "system"),), optional=META, rename=False),
     Mapping("from/value", turns="conversations", role="from", text="value", before=(("system", "system"),), optional=META),
     Mapping("dialogue", turns="dialogue", role="speaker", text="utterance", optional=META),
     Mapping("prompt/response", fields=(("prompt", "user"), ("response", "assistant")), before=(("system", "system"),), optional=META),
     Mapping("prompt/completion", fields=(("prompt", "user"), ("completion", "assistant")), optional=META),
     Mapping("instruction", fields=(("instruction", "user"), ("input", "user"), ("output", "assistant")), before=(("system", "system"),), optional=("input", *META)),
-    Mapping("question", fields=(("question", "user"), ("answer", "assistant")), optional=("context", *META)),
+    Mapping("question", fields=(("context", "user"), ("question", "user"), ("answer", "assistant")), optional=("context", *META)),
     Mapping("nested", fields=(("request.prompt", "user"), ("reply.text", "assistant")), optional=META),
 )
 
@@ -125,37 +135,60 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
     return out
 
 
-def canonical(line: str | None, known: dict[str, Mapping]) -> tuple[str | None, list[Turn]]:
-    """(fingerprint, turns) of a JSON record; no turns where the layout is unknown or not JSON."""
+def chosen(paths: set[str], known: dict[str, Mapping]) -> tuple[Mapping | None, set[str]]:
+    """(mapping, paths that it leaves out) of a layout: by its fingerprint or, where that is unknown,
+    by the fingerprint of the part that a mapping names, the largest first."""
+    exact = known.get(fingerprint(paths))
+    if exact is not None:
+        return exact, set()
+    parts = [(m, paths & m.paths()) for m in dict.fromkeys(known.values())]
+    for m, part in sorted(parts, key=lambda x: -len(x[1])):
+        if known.get(fingerprint(part)) is m:
+            return m, paths - part
+    return None, paths
+
+
+def canonical(line: str | None, known: dict[str, Mapping], layouts: dict | None = None) -> tuple[str | None, str | None, list[Turn], list[str]]:
+    """(fingerprint, layout, turns, unmapped paths) of a JSON record; no layout and no turns where no
+    mapping fits or it isn't JSON. layouts: what is known of fingerprints that were met before."""
     try:
         record = json.loads(line) if line else None
     except ValueError:
         record = None
     if not isinstance(record, dict):
-        return None, []
-    # A null says nothing of a layout, and neither does an element's missing field.
-    mark = fingerprint(field_paths(record))
-    return mark, known[mark].apply(record) if mark in known else []
+        return None, None, [], []
+    paths = field_paths(record)
+    mark = fingerprint(paths)
+    layouts = {} if layouts is None else layouts
+    if mark not in layouts:
+        if len(layouts) > 10_000:
+            layouts.clear()
+        layouts[mark] = chosen(paths, known)
+    mapping, rest = layouts[mark]
+    return mark, mapping and mapping.name, mapping.apply(record) if mapping else [], sorted(rest)
 
 
 def canonical_turns(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """fingerprint, layout, turns of every JSON record; layout is null where no mapping fits."""
+    """fingerprint, layout, turns and unmapped (paths) of every JSON record; layout is null where no
+    mapping fits."""
     known = registry(mappings)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        layouts: dict = {}
         for pdf in batches(it):
-            got = [canonical(x, known) for x in pdf["record"].array]
+            got = [canonical(x, known, layouts) for x in pdf["record"].array]
             yield pd.DataFrame(
                 {
                     "conv_id": pdf["conv_id"].astype("Int64"),
-                    "fingerprint": [m for m, _ in got],
-                    "layout": [known[m].name if m in known else None for m, _ in got],
-                    "turns": [[{"role": r, "text": t} for r, t in ts] for _, ts in got],
+                    "fingerprint": [g[0] for g in got],
+                    "layout": [g[1] for g in got],
+                    "turns": [[{"role": r, "text": t} for r, t in g[2]] for g in got],
+                    "unmapped": [g[3] for g in got],
                 }
             )
 
     rows = records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col(column).cast("string").alias("record"))
-    return rows.mapInPandas(run, "conv_id long, fingerprint string, layout string, turns array<struct<role: string, text: string>>")
+    return rows.mapInPandas(run, "conv_id long, fingerprint string, layout string, turns array<struct<role: string, text: string>>, unmapped array<string>")
 
 
 # --- the template ---
@@ -208,8 +241,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     known = registry()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        layouts: dict = {}
         for pdf in batches(it):
-            done = [render(canonical(x, known)[1]) for x in pdf["record"].array]
+            done = [render(canonical(x, known, layouts)[2]) for x in pdf["record"].array]
             yield pd.DataFrame(
                 {
                     "conv_id": pdf["conv_id"].astype("Int64"),
