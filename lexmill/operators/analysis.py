@@ -1,13 +1,22 @@
-"""Analysers: from documents (doc, title, text) to words, and from words to index terms.
+"""Analysers: from documents (doc, title, text) to the index terms of each, in Arrow batches.
 
-`ascii` stays in the JVM: runs of ASCII letters and digits, lower-cased, without stemming. `english`
-is the full analyser (sentences, Treebank words with spans, stop list, stemmer) in Arrow batches."""
+A document becomes one row: its words are split, normalised and grouped by term within the row, so
+that postings are a mere explode and no token is ever shuffled. `ascii` takes runs of ASCII letters
+and digits, lower-cased, without stemming; `english` is the full analyser (sentences, Treebank words
+with spans, stop list, stemmer). Columns of the result:
+
+title_words; title_terms (pos, term); posts (term, positions: title words as -1 - ordinal, then body
+ordinals, both among all words); surface (distinct lower-cased words for the dictionary); size (all
+body words); maxf (greatest term frequency); for `english` also the spans tokens_title and tokens."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +25,9 @@ from ..functions.stopwords import STOPWORDS
 from ..schemas import SPAN
 
 ASCII_WORD = "[A-Za-z0-9]+"
+_ASCII_WORD = re.compile(ASCII_WORD)
+_STOP = frozenset(STOPWORDS)
+_CACHED = 200_000
 
 
 def ascii_words(text: Column) -> Column:
@@ -26,47 +38,130 @@ def is_good(word: Column) -> Column:
     return (F.length(word) > 2) & word.rlike(r"\p{L}")
 
 
-def is_dictionary(word: Column) -> Column:
-    return (F.length(word) > 3) & word.rlike(r"\p{L}")
+def ascii_term(word: str) -> str | None:
+    """The index term of a word, or None if it isn't worth indexing."""
+    if len(word) < 3 or word.isdigit():
+        return None
+    word = word.lower()
+    return None if word in _STOP else word
 
 
-def ascii_terms(words: Column) -> Column:
-    """array<struct<pos, term>> of the words worth indexing; pos counts all words."""
-    listed = F.transform(words, lambda w, i: F.struct(i.cast("int").alias("pos"), F.lower(w).alias("term")))
-    return F.filter(listed, lambda x: is_good(x["term"]) & ~x["term"].isin(*STOPWORDS))
+def english_term(word: str) -> str | None:
+    found = normalise.normalise([word])
+    return found[0][1] if found else None
 
 
-def analyse_ascii(docs: DataFrame) -> DataFrame:
-    """doc, title, text, title_words, words, title_terms, terms."""
-    w = docs.select("doc", "title", "text", ascii_words(F.col("title")).alias("title_words"), ascii_words(F.col("text")).alias("words"))
-    return w.select("*", ascii_terms(F.col("title_words")).alias("title_terms"), ascii_terms(F.col("words")).alias("terms"))
+class _Cache(dict):
+    """What a function gave for the words met last."""
+
+    def __init__(self, f: Callable):
+        self.f = f
+
+    def __missing__(self, word: str):
+        if len(self) > _CACHED:
+            self.clear()
+        self[word] = out = self.f(word)
+        return out
+
+
+def grouped(title: list, body: list) -> dict[str, list[int]]:
+    """Positions of each term; title and body: the term, or None, of each word."""
+    found: dict[str, list[int]] = {}
+    for i, t in enumerate(title):
+        if t is not None:
+            found.setdefault(t, []).append(-1 - i)
+    for i, t in enumerate(body):
+        if t is not None:
+            found.setdefault(t, []).append(i)
+    return found
+
+
+def _lists(parts: list[list], values: pa.Array) -> pa.Array:
+    """A list column: row i has so many of the values as parts[i]."""
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, parts), initial=0)), pa.int32()), values)
+
+
+def _flat(parts: list[list]) -> list:
+    return [x for p in parts for x in p]
 
 
 _TERMS = "array<struct<pos: int, term: string>>"
-_ANALYSED = (
-    f"doc string, title string, text string, title_words array<string>, words array<string>, title_terms {_TERMS}, terms {_TERMS}, "
-    f"tokens_title array<{SPAN}>, tokens array<{SPAN}>"
-)
+_ANALYSED = f"doc string, title string, text string, title_words array<string>, title_terms {_TERMS}, posts array<struct<term: string, positions: array<int>>>, surface array<string>, size int, maxf int"
+_SPANS = f", tokens_title array<{SPAN}>, tokens array<{SPAN}>"
+
+
+def _span_lists(parts: list[list[tuple[int, int]]]) -> pa.Array:
+    flat = _flat(parts)
+    ends = [pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1)]
+    return _lists(parts, pa.StructArray.from_arrays(ends, ["from", "to"]))
+
+
+def _analyse(docs: DataFrame, split: Callable, term: Callable, with_spans: bool) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Cache(term)
+        surface = _Cache(lambda w: w.lower() if normalise.is_dictionary_word(w) else None)
+        for whole in it:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                titles, posts, words_of, sizes, most, spans = [], [], [], [], [], ([], [])
+                for title, text in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist()):
+                    (head, head_at), (body, body_at) = split(title), split(text)
+                    found = grouped([terms[w] for w in head], [terms[w] for w in body])
+                    titles.append(head)
+                    posts.append(found)
+                    words_of.append(sorted({surface[w] for w in {*head, *body}} - {None}))
+                    sizes.append(len(body))
+                    most.append(max(map(len, found.values()), default=0))
+                    spans[0].append(head_at)
+                    spans[1].append(body_at)
+                named = [[(i, terms[w]) for i, w in enumerate(t) if terms[w] is not None] for t in titles]
+                at = [list(p.values()) for p in posts]
+                positions = _lists(_flat(at), pa.array(_flat(_flat(at)), pa.int32()))
+                columns = {
+                    "doc": batch.column("doc"),
+                    "title": batch.column("title"),
+                    "text": batch.column("text"),
+                    "title_words": _lists(titles, pa.array(_flat(titles), pa.string())),
+                    "title_terms": _lists(named, pa.StructArray.from_arrays([pa.array([x[0] for x in _flat(named)], pa.int32()), pa.array([x[1] for x in _flat(named)], pa.string())], ["pos", "term"])),
+                    "posts": _lists(at, pa.StructArray.from_arrays([pa.array([t for p in posts for t in p], pa.string()), positions], ["term", "positions"])),
+                    "surface": _lists(words_of, pa.array(_flat(words_of), pa.string())),
+                    "size": pa.array(sizes, pa.int32()),
+                    "maxf": pa.array(most, pa.int32()),
+                }
+                if with_spans:
+                    columns |= {"tokens_title": _span_lists(spans[0]), "tokens": _span_lists(spans[1])}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.select("doc", "title", "text").mapInArrow(run, _ANALYSED + _SPANS * with_spans)
+
+
+def _split_ascii(text: str | None) -> tuple[list[str], list]:
+    return _ASCII_WORD.findall(text or ""), []
+
+
+def _split_english(text: str | None) -> tuple[list[str], list]:
+    at = tokens.spans(text)
+    return tokens.words(text, at), at
+
+
+def analyse_ascii(docs: DataFrame) -> DataFrame:
+    return _analyse(docs, _split_ascii, ascii_term, False)
 
 
 def analyse_english(docs: DataFrame) -> DataFrame:
-    """As analyse_ascii, with the full analyser and the words' spans."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if not len(pdf):
-                continue
-            out: dict[str, list] = {c: [] for c in ("title_words", "words", "title_terms", "terms", "tokens_title", "tokens")}
-            for title, text in zip(pdf["title"].array, pdf["text"].array):
-                for value, w, t, s in ((title, "title_words", "title_terms", "tokens_title"), (text, "words", "terms", "tokens")):
-                    at = tokens.spans(value)
-                    found = tokens.words(value, at)
-                    out[w].append(found)
-                    out[t].append([{"pos": i, "term": x} for i, x in normalise.normalise(found)])
-                    out[s].append([{"from": a, "to": b} for a, b in at])
-            yield pdf.assign(**out)
-
-    return docs.select("doc", "title", "text").mapInPandas(run, _ANALYSED)
+    return _analyse(docs, _split_english, english_term, True)
+
+
+def words(text: Column, analyser: str) -> Column:
+    """All words of a text."""
+    if analyser == "ascii":
+        return ascii_words(text)
+
+    @F.pandas_udf("array<string>")
+    def split(col: pd.Series) -> pd.Series:
+        return col.map(lambda t: _split_english(t)[0])
+
+    return split(text)
 
 
 ANALYSERS = {"ascii": analyse_ascii, "english": analyse_english}

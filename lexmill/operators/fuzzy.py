@@ -27,22 +27,28 @@ def probes(words: DataFrame, k: int) -> DataFrame:
     return words.select("word", F.explode(every).alias("p")).select("word", "p.*")
 
 
-def fuzzy_lookup(words: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
+def neighbourhood(vocabulary: DataFrame, k: int) -> DataFrame:
+    """term, key, rest: what is left of each key after up to k deletions. Written once, it serves any
+    number of lookups."""
+    # Keys are spread first, over a stated number of partitions, as each is multiplied.
+    n = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = vocabulary.select("term").filter("term is not null").repartition(n, "term").distinct()
+    return keys.select("term", as_bytes(F.col("term")).alias("key")).select("term", "key", F.explode(deletions(F.col("key"), k)).alias("rest"))
+
+
+def fuzzy_lookup(words: DataFrame, vocabulary: DataFrame, k: int, near: DataFrame | None = None) -> DataFrame:
     """(word, term): the keys that each word finds with up to k corrections.
 
-    words: column word; vocabulary: column term. Nulls find nothing; equal rows count once."""
+    words: column word; vocabulary: column term; near: neighbourhood(vocabulary, k), if it is at hand.
+    Nulls find nothing; equal rows count once."""
     words = words.select("word").filter("word is not null").distinct()
-    # Each key is multiplied by its remainders: the keys are spread first, over a stated number of
-    # partitions, as so small an input would otherwise be joined in one task.
-    n = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = vocabulary.select("term").filter("term is not null").repartition(n, "term").distinct()
     if k == 0:
+        keys = vocabulary.select("term").filter("term is not null").distinct()
         return words.join(keys, F.col("word") == F.col("term")).select("word", "term")
     sides = probes(words, k).select("word", "probe", "budget", F.explode(deletions(F.col("probe"), k)).alias("rest"))
-    terms = keys.select("term", as_bytes(F.col("term")).alias("key"))
-    terms = terms.select("term", "key", F.explode(deletions(F.col("key"), k)).alias("rest"))
-    near = F.abs(F.length("probe") - F.length("key")) <= F.col("budget")
-    found = sides.join(terms, "rest").filter(near).select("word", "probe", "budget", "term", "key").distinct()
+    terms = neighbourhood(vocabulary, k) if near is None else near
+    alike = F.abs(F.length("probe") - F.length("key")) <= F.col("budget")
+    found = sides.join(terms, "rest").filter(alike).select("word", "probe", "budget", "term", "key").distinct()
     # The plain distance, which is compiled code, is never below: what it admits needs no fold. Where
     # it is d above the budget, d edits must be swaps (a swap is two plain edits), which leaves
     # budget - d edits for letters that one side lacks.
@@ -53,15 +59,32 @@ def fuzzy_lookup(words: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
     return found.filter(F.when(plain <= F.col("budget"), True).otherwise(F.coalesce(swapped, F.lit(False)))).select("word", "term").distinct()
 
 
-def tiers(words: DataFrame, vocabulary: DataFrame, most: int) -> DataFrame:
-    """(word, term, k): the keys of the first k of 0..most that finds any."""
+class Keys:
+    """A vocabulary with its neighbourhoods, each made when first needed."""
+
+    def __init__(self, vocabulary: DataFrame):
+        self.vocabulary = vocabulary
+        self._near: dict[int, DataFrame] = {}
+
+    def near(self, k: int) -> DataFrame | None:
+        if k and k not in self._near:
+            self._near[k] = saved(neighbourhood(self.vocabulary, k))
+        return self._near.get(k)
+
+
+def tiers(words: DataFrame, vocabulary: DataFrame | Keys, most: int) -> DataFrame:
+    """(word, term, k): the keys of the first k of 0..most that finds any. Only words that a tier
+    leaves over go on to the next, and a tier without words costs nothing."""
+    keys = vocabulary if isinstance(vocabulary, Keys) else Keys(vocabulary)
     left = saved(words.select("word").filter("word is not null").distinct())
     out = None
     for k in range(most + 1):
-        found = saved(fuzzy_lookup(left, vocabulary, k).withColumn("k", F.lit(k)))
+        found = saved(fuzzy_lookup(left, keys.vocabulary, k, keys.near(k)).withColumn("k", F.lit(k)))
         out = found if out is None else out.unionByName(found)
         if k < most:
-            left = left.join(found.select("word").distinct(), "word", "left_anti")
+            left = saved(left.join(found.select("word").distinct(), "word", "left_anti"))
+            if left.isEmpty():
+                break
     return out
 
 

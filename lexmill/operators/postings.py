@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 def token_rows(analysed: DataFrame) -> DataFrame:
     """doc, pos, term: a row for every indexed word of title and body."""
-    title = F.transform("title_terms", lambda x: F.struct((-1 - x["pos"]).alias("pos"), x["term"].alias("term")))
-    return analysed.select("doc", F.explode(F.concat(title, F.col("terms"))).alias("t")).select("doc", "t.pos", "t.term")
+    return analysed.select("doc", F.explode("posts").alias("p")).select("doc", F.explode("p.positions").alias("pos"), F.col("p.term").alias("term"))
 
 
 def in_order(positions: Column) -> Column:
@@ -21,9 +20,9 @@ def in_order(positions: Column) -> Column:
 
 
 def postings(analysed: DataFrame) -> DataFrame:
-    """term, doc, positions, tf."""
-    rows = token_rows(analysed).groupBy("term", "doc").agg(F.collect_list("pos").alias("p"))
-    return rows.select("term", "doc", in_order(F.col("p")).alias("positions"), F.size("p").alias("tf"))
+    """term, doc, positions, tf. Terms are grouped within each row already: nothing is shuffled."""
+    rows = analysed.select("doc", F.explode("posts").alias("p"))
+    return rows.select("p.term", "doc", "p.positions", F.size("p.positions").alias("tf"))
 
 
 def merge_postings(*parts: DataFrame) -> DataFrame:
@@ -37,21 +36,8 @@ def merge_postings(*parts: DataFrame) -> DataFrame:
 
 def articles(analysed: DataFrame) -> DataFrame:
     """The documents with their size (all body words) and greatest term frequency; documents without
-    an indexed word are left out. Frequencies are counted within the row: no shuffle."""
-    every = F.transform(F.concat("title_terms", "terms"), lambda x: x["term"])
-    # Equal terms are neighbours in the sorted list; the longest run is the greatest frequency.
-    runs = F.aggregate(
-        F.array_sort(every),
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),
-        lambda acc, t: F.struct(
-            t.alias("last"),
-            F.when(t == acc["last"], acc["run"] + 1).otherwise(1).alias("run"),
-            F.greatest(acc["most"], F.when(t == acc["last"], acc["run"] + 1).otherwise(1)).alias("most"),
-        ),
-        lambda acc: acc["most"],
-    )
-    found = analysed.filter(F.size("title_terms") + F.size("terms") > 0)
-    return found.select("*", F.size("words").alias("size"), runs.alias("maxf"))
+    an indexed word are left out."""
+    return analysed.filter(F.size("posts") > 0).drop("posts", "surface")
 
 
 def corpus_stats(arts: DataFrame) -> DataFrame:
@@ -67,10 +53,7 @@ def vocabulary(posts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
 
 def dictionary(analysed: DataFrame) -> DataFrame:
     """Lower-cased surface words of four letters or more, for spelling correction; no postings."""
-    from .analysis import is_dictionary
-
-    words = analysed.select(F.explode(F.concat("title_words", "words")).alias("w")).filter(is_dictionary(F.col("w")))
-    return words.select(F.lower("w").alias("term")).distinct()
+    return analysed.select(F.explode("surface").alias("term")).distinct()
 
 
 def document_frequency(posts: DataFrame, n: DataFrame) -> DataFrame:

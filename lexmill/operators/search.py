@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.stopwords import STOPWORDS
 from ..sources.scratch import saved
 from . import analysis, postings
-from .fuzzy import fuzzy_lookup, tiers
+from .fuzzy import Keys, fuzzy_lookup, tiers
 
 K1, B = 1.6, 0.75
 MOST_CORRECTIONS = 10
@@ -27,31 +27,41 @@ class NotEnoughEntropy(ValueError):
 
 @dataclass
 class Index:
-    """Tables of an index. stem: for analysers that stem, (table, column) -> table with stems."""
+    """Tables of an index."""
 
     articles: DataFrame
     postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
     analyser: str = "ascii"
+    _keys: Keys | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, analyser: str = "ascii", dictionary: bool = True) -> Index:
-        analysed = analysis.ANALYSERS[analyser](docs)
-        arts = postings.articles(analysed)
-        posts = postings.postings(analysed)
-        extra = postings.dictionary(analysed) if dictionary else None
-        return cls(arts, posts, postings.vocabulary(posts, extra), postings.corpus_stats(arts), analyser)
+        return cls.of(saved(analysis.ANALYSERS[analyser](docs)), analyser, dictionary)
+
+    @classmethod
+    def of(cls, analysed: DataFrame, analyser: str = "ascii", dictionary: bool = True) -> Index:
+        """An index over analysed documents, a written table: all of its tables are read from there."""
+        arts, posts = postings.articles(analysed), postings.postings(analysed)
+        keys = saved(postings.vocabulary(posts, postings.dictionary(analysed) if dictionary else None))
+        return cls(arts, posts, keys, postings.corpus_stats(arts), analyser)
+
+    @property
+    def keys(self) -> Keys:
+        """The vocabulary with its neighbourhoods, which are made once for the index."""
+        if self._keys is None or self._keys.vocabulary is not self.vocabulary:
+            self._keys = Keys(self.vocabulary)
+        return self._keys
 
 
 def query_words(queries: DataFrame, analyser: str = "ascii") -> DataFrame:
     """query_id, word: the distinct lower-cased words of each query."""
-    rows = queries.select(F.col("query_id").cast("string").alias("doc"), F.lit("").alias("title"), "text")
-    words = analysis.ANALYSERS[analyser](rows).select("doc", F.explode("words").alias("w"))
-    return words.select(F.col("doc").cast("long").alias("query_id"), F.lower("w").alias("word")).distinct()
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(analysis.words(F.col("text"), analyser)).alias("w"))
+    return rows.select("query_id", F.lower("w").alias("word")).distinct()
 
 
-def correct(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def correct(words: DataFrame, vocabulary: DataFrame | Keys) -> DataFrame:
     """word, alternatives, corrected: what each distinct word is searched as. corrected is true where
     keys replace it, false where none could, null where the word is known or not looked up."""
     words = words.select("word").distinct()
@@ -85,7 +95,7 @@ def stemmed(terms: Column) -> Column:
     return stems(terms)
 
 
-def matched_keys(sets: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def matched_keys(sets: DataFrame, vocabulary: DataFrame | Keys) -> DataFrame:
     """query_id, terms (the set), key: a term's keys are itself, or else all within one edit."""
     terms = sets.select("query_id", "terms", F.explode("terms").alias("word"))
     return terms.join(tiers(terms, vocabulary, 1).select("word", F.col("term").alias("key")), "word").select("query_id", "terms", "key").distinct()
@@ -107,11 +117,11 @@ class Ranking:
 def search(queries: DataFrame, index: Index, top: int | None = None, skip: int = 0) -> Ranking:
     """Rank the documents for every query; top and skip choose a page of results."""
     words = saved(query_words(queries, index.analyser))
-    corrected = saved(correct(words, index.vocabulary))
+    corrected = saved(correct(words, index.keys))
     sets = saved(query_sets(words, corrected, index.analyser))
-    keys = saved(matched_keys(sets, index.vocabulary))
+    keys = saved(matched_keys(sets, index.keys))
     posts = index.postings.select(F.col("term").alias("key"), "doc", "tf", "positions")
-    hits = keys.select("query_id", "key").distinct().join(posts, "key")
+    hits = saved(keys.select("query_id", "key").distinct().join(posts, "key"))
     matched = saved(matching(sets, keys, hits))
     return Ranking(words, corrected, sets, keys, hits, matched, rank(words, corrected, hits, matched, index, top, skip))
 
@@ -124,8 +134,9 @@ def matching(sets: DataFrame, keys: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def text_scores(hits: DataFrame, matched: DataFrame, arts: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, doc, text_score, n_keys."""
-    df = hits.groupBy("query_id", "key").agg(F.count_distinct("doc").alias("df"))
+    """query_id, doc, text_score, n_keys. A key and a document meet in one hit, so counting rows counts
+    documents."""
+    df = hits.groupBy("query_id", "key").agg(F.count("*").alias("df"))
     n_keys = df.groupBy("query_id").agg(F.count("*").alias("n_keys"))
     one = F.broadcast(stats)  # a single row
     rows = hits.join(matched, ["query_id", "doc"]).join(df, ["query_id", "key"]).join(arts.select("doc", "size").filter("size > 0"), "doc").crossJoin(one)

@@ -5,15 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analysis, postings, search, snippets
 from ..operators.fuzzy import fuzzy_lookup, word_query
-from .oracles import ORACLES
+from .oracles import ORACLES, WIKI_HEAD, WIKI_TAIL
 from ..sources import corpus, dump
 from ..sources.scratch import new_folder, saved
-from ..sources.store import create_store, store_stats as stats_of
+from ..sources.store import Store, create_store, open_store
+from ..sources.store import store_stats as stats_of
 from ..streaming.ingest import ingest
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +22,8 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(docs: DataFrame) -> search.Index:
-    """An index whose tables are written once."""
-    made = search.Index.build(docs)
-    posts = saved(made.postings)
-    analysed = analysis.analyse_ascii(docs)
-    arts = saved(made.articles.select("doc", "title_words", "title_terms", "size", "maxf"))
-    keys = saved(postings.vocabulary(posts, postings.dictionary(analysed)))
-    return search.Index(arts, posts, keys, postings.corpus_stats(arts))
+    """An index whose texts are analysed once; they aren't needed any more then."""
+    return search.Index.of(saved(analysis.analyse_ascii(docs).drop("text")))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[search.Index, search.Ranking]:
@@ -46,7 +42,7 @@ def _flat(posts: DataFrame) -> DataFrame:
 def article_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dump's filters; one source stands for another namespace."""
     rows = corpus.table(spark, sf_dir, "documents")
-    ns = F.when(F.col("source") == "src1", "1").otherwise("0")
+    ns = F.when(F.col("source") == "src1", "1").when(F.col("source").isNotNull(), "0")
     return rows.filter(dump.is_article(ns, F.col("text"))).select("doc_id")
 
 
@@ -86,8 +82,9 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analysed = _analysed(spark, sf_dir)
-    keys = postings.vocabulary(postings.token_rows(analysed), postings.dictionary(analysed))
+    # A document's terms and surface words in one pass.
+    words = _analysed(spark, sf_dir).select(F.explode(F.array_union(F.transform("posts", lambda p: p["term"]), F.col("surface"))).alias("term"))
+    keys = words.distinct()
     return keys.select("term", F.length("term").cast("long").alias("term_len"), F.reverse("term").alias("term_rev"))
 
 
@@ -96,7 +93,7 @@ def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analysed = _analysed(spark, sf_dir)
+    analysed = saved(_analysed(spark, sf_dir).select("doc", "posts", "size", "surface"))
     df = postings.document_frequency(postings.postings(analysed), postings.corpus_stats(postings.articles(analysed)))
     return df.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
@@ -192,13 +189,90 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats_of(_index(corpus.documents(spark, sf_dir)))
 
 
-# --- not in SQL: the full English analyser ---
+def _twice_fed(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that is fed the documents' titles as texts first, then the documents themselves, and the
+    dictionary of the pages' titles."""
+    docs = corpus.documents(spark, sf_dir)
+    store = create_store(spark, new_folder(spark))
+    store.feed(analysis.analyse_ascii(docs.withColumn("text", F.col("title"))))
+    store.feed(analysis.analyse_ascii(docs))
+    titles = corpus.pages(spark, sf_dir).select("doc", "title", F.lit("").alias("text"))
+    store.feed(analysis.analyse_ascii(titles), dictionary_only=True)
+    return open_store(spark, store.location)
+
+
+def store_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's last feed counts."""
+    return _flat(_twice_fed(spark, sf_dir).postings())
+
+
+def store_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arts = _twice_fed(spark, sf_dir).articles()
+    return arts.select("doc", "title", F.length("text").cast("long").alias("chars"), F.col("size").cast("long").alias("size"))
+
+
+def store_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _twice_fed(spark, sf_dir).vocabulary()
+
+
+STORE_WORDS = ("thanedble", "toanensting", "nosuchword", "the")
+
+
+def store_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of single keys."""
+    store = _twice_fed(spark, sf_dir)
+    out = None
+    for word in STORE_WORDS:
+        rows = _flat(store.get(word))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
 
+def store_word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups with up to two corrections: keys, totals, and each key's place in byte order."""
+    store = _twice_fed(spark, sf_dir)
+    out = None
+    for k, word in enumerate(STORE_WORDS):
+        rows = store.word_query(word, min(k, 2), keys_only=True).withColumn("place", F.monotonically_increasing_id())
+        rows = rows.coalesce(1).select("word", "term", "exact_total", F.row_number().over(Window.partitionBy("word").orderBy("place")).cast("long").alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-def wiki_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup, references and tags out of whole web pages, by the wiki cleaner."""
+
+UNICODE_WORD = r"[\p{L}\p{N}]+"
+
+
+def fuzzy_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup with one correction among words with letters beyond ASCII, where an edit is of a byte."""
+    found = lambda text: F.explode(F.regexp_extract_all(text, F.lit(UNICODE_WORD), F.lit(0)))
+    beyond = lambda c: F.octet_length(c) > F.length(c)
+    keys = corpus.documents(spark, sf_dir).select(found(F.col("text")).alias("term")).distinct().filter(beyond("term"))
+    words = corpus.pages(spark, sf_dir).select(found(F.col("title")).alias("word")).distinct().filter(beyond("word"))
+    return fuzzy_lookup(words, keys, 1)
+
+
+def wiki_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wiki cleaner over articles written in its markup: templates, tables, links, quotes,
+    references, headings, lists, formulas and entities around the letters of each document."""
+    plain = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), " ")
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(WIKI_HEAD), plain, F.lit(WIKI_TAIL)).alias("text"))
+    return rows.select("doc_id", dump.unwiki(F.col("text")).alias("text"))
+
+
+def entity_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character references of whole web pages, twice."""
     rows = corpus.table(spark, sf_dir, "pages")
-    return rows.select("page_id", dump.unwiki(F.col("html")).alias("text"))
+    return rows.select("page_id", dump.unescaped(F.col("html")).alias("text"))
+
+
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of every document frequency there is."""
+    analysed = saved(_analysed(spark, sf_dir).select("doc", "posts", "size"))
+    df = postings.document_frequency(postings.postings(analysed), postings.corpus_stats(postings.articles(analysed.withColumn("surface", F.lit(None)))))
+    return df.groupBy("df").agg(F.round(F.first("idf"), 6).alias("idf"), F.count("*").alias("n_terms"))
+
+
+# --- not in SQL: the full English analyser ---
 
 
 def english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,38 @@ parted AS (SELECT *, sum(new) OVER (PARTITION BY query_id, doc ORDER BY pos) AS
 _FILTERED = """SELECT doc_id FROM documents
     WHERE source <> 'src1' AND text IS NOT NULL AND text <> '' AND lower(substr(text, 1, 9)) <> '#redirect'"""
 
+#: What stands before and after a document's letters in wiki_markup, and what is left of it.
+WIKI_HEAD = "{{box|a={{b|c}}}}\n== Empty ==\n== Lead ==\n'''Name''' [[target|label]]s [[plain]] [[File:x.png]] "
+WIKI_TAIL = " [http://h.org/x words here]<ref>gone</ref> <b>bold</b><!-- no -->\n* item &amp;amp; more\n{| class=t\n| cell\n|}\n=== Sub! ===\n<math>a^2</math> then <math>b</math>....... end,, &eacute;\n(bracketed)\n== Last =="
+_WIKI = """SELECT doc_id, 'Lead.' || chr(10) || 'Name labels plain ' || array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), ' ') ||
+    ' words here bold' || chr(10) || ' item &amp; more' || chr(10) || 'Sub!' || chr(10) || 'formula_1 then formula_2... end, é' AS text FROM documents"""
+
+
+def _unescaped(text: str) -> str:
+    """The references that the pages use, twice; & goes last, as it may begin another."""
+    for _ in range(2):
+        for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+            text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+_FED = """docs AS (SELECT CAST(doc_id AS VARCHAR) AS doc, split_part(text, chr(10), 1) AS title, text FROM documents)"""
+_PAGE_WORDS = f"""pw AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest({_WORDS.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS w FROM pages) WHERE {_good('w', 4)}),
+kept_keys AS (SELECT DISTINCT term FROM kept UNION SELECT term FROM pw)"""
+_STORE_WORDS = ("thanedble", "toanensting", "nosuchword", "the")
+
+
+def _store_queries() -> str:
+    near = {0: lambda w: f"term = '{w}'", 1: lambda w: _dl(f"'{w}'", "term", 1), 2: lambda w: _within_two(f"'{w}'", "term")}
+    parts = [f"SELECT '{w}' AS word, term FROM kept_keys WHERE {near[min(k, 2)](w)}" for k, w in enumerate(_STORE_WORDS)]
+    return f"""SELECT word, term, count(*) OVER (PARTITION BY word) AS exact_total, row_number() OVER (PARTITION BY word ORDER BY encode(term)) AS place
+    FROM ({' UNION ALL '.join(parts)})"""
+
+
+_BEYOND = r"""SELECT DISTINCT word, term FROM (SELECT DISTINCT unnest(regexp_extract_all(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\p{L}\p{N}]+')) AS word FROM pages),
+    (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS term FROM documents)
+    WHERE strlen(word) > length(word) AND strlen(term) > length(term) AND abs(strlen(word) - strlen(term)) <= 1 AND damerau_levenshtein(word, term) <= 1"""
+
 ORACLES: dict[str, str] = {
     "article_filters": _FILTERED,
     "tokens_posexplode": sql("SELECT doc, pos, term FROM kept", DOCS, TOKENS),
@@ -175,6 +207,20 @@ qw AS (SELECT DISTINCT query_id, word FROM (VALUES (1, 'the'), (1, 'ration'), (2
         'SELECT query_id, doc, CAST(part AS BIGINT) AS part, min(pos) - 10 AS "start", max(pos) + 16 AS "end", string_agg(pos, \',\' ORDER BY pos) AS hits FROM parted GROUP BY query_id, doc, part',
         *_all(DOCS, _ISLANDS),
     ),
+    "store_feeds": sql(_POSTINGS, _FED, TOKENS),
+    "store_articles": sql("SELECT doc, title, length(text) AS chars, size FROM art JOIN docs USING (doc)", _FED, TOKENS),
+    "store_vocabulary": sql("SELECT term FROM kept_keys", _FED, TOKENS, _PAGE_WORDS),
+    "store_point_reads": sql(_POSTINGS.replace("FROM kept", f"FROM kept WHERE term IN {_STORE_WORDS}"), _FED, TOKENS),
+    "store_word_queries": sql(_store_queries(), _FED, TOKENS, _PAGE_WORDS),
+    "fuzzy_bytes": _BEYOND,
+    "wiki_markup": _WIKI,
+    "entity_unescape": f"SELECT page_id, {_unescaped('html')} AS text FROM pages",
+    "idf": sql(
+        "SELECT df, round(greatest(0.4::DOUBLE, ln((any_value(n) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS idf, count(*) AS n_terms "
+        "FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats GROUP BY df",
+        DOCS,
+        TOKENS,
+    ),
     "store_stats": sql(
         """SELECT (SELECT count(*) FROM vocab) AS n_terms, (SELECT CAST(sum(length(term)) AS BIGINT) FROM vocab) AS term_bytes, (SELECT max(length(term)) FROM vocab) AS longest_term,
         (SELECT count(*) FROM post) AS n_postings, (SELECT CAST(sum(tf) AS BIGINT) FROM post) AS n_positions,

@@ -42,3 +42,14 @@ def unwiki(text: Column) -> Column:
         return col.map(lambda t: plain(t) if t is not None else None)
 
     return cleaned(text)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded, twice, as some are written twice."""
+    from ..functions.clean import unescape
+
+    @F.pandas_udf("string")
+    def plain(col: pd.Series) -> pd.Series:
+        return col.map(lambda t: unescape(unescape(t)) if t is not None else None)
+
+    return plain(text)

@@ -87,7 +87,7 @@ def test_misspelt_query_and_pages(index):
     rows = search.search_one("appel", index, top=1, skip=1).collect()
     assert [r.rank for r in rows] == [2]
     with pytest.raises(NotEnoughEntropy):
-        search.search_one("the of 12", index)
+        search.search_one("of 12", index)
 
 
 @pytest.mark.parametrize("hits, want", [([5], [(-5, 21)]), ([5, 31], [(-5, 47)]), ([5, 32], [(-5, 21), (22, 48)]), ([], [])])
