@@ -1,8 +1,8 @@
 """Sentences, words and their spans.
 
-Words are split off in the Treebank manner: spaces are put around punctuation, quotes and
-contractions' endings, sentence by sentence, and what spaces part are the words. As only spaces are
-added, a word's place in the text is where its first character comes next.
+A sentence is cut into words in the Treebank manner, by places: a first scan marks cuts around
+punctuation, brackets and quotation marks, a second one takes the endings of contractions off the
+chunks between. Nothing is rewritten, so that the cuts are the words' spans.
 
 Sentence ends are found by rule: a mark of . ! or ? (with closing quotes or brackets) before white
 space and an upper-case letter, digit or opening quote, unless the mark ends a known abbreviation or
@@ -19,24 +19,14 @@ _ABBREVIATIONS = frozenset(
 _SENTENCE_END = re.compile(r"[.!?]+[\"')\]}”’]*(?=\s+[\"'(\[{“‘]*[^\Wa-z_])|\n\s*\n")
 _LAST_WORD = re.compile(r"([A-Za-z.]+)\.[\"')\]}]*\Z")
 
-A = re.ASCII
-_STEPS = [
-    (re.compile(r"([:,])(?=\D)", A), r" \1 "),
-    (re.compile(r"\.{3}"), " ... "),
-    (re.compile(r"([;@#$%&])"), r" \1 "),
-    (re.compile(r"(?<=[^.])\.(?=[\])}>\"']*\s*\Z)", A), " ."),
-    (re.compile(r"(?<=\.)([\])}>\"']+)(?=\s*\Z)", A), r"\1 "),
-    (re.compile(r"([!?])"), r" \1 "),
-    (re.compile(r"(?<=[^'])' "), " ' "),
-    (re.compile(r"([()<>{}\[\]])"), r" \1 "),
-    (re.compile(r"--"), " -- "),
-]
-_QUOTES = re.compile(r"(``|''|\")")
-_CLITICS = [re.compile(r"(?<=[^' ])('[sSmMdD]|') "), re.compile(r"(?<=[^' ])(n't|'(?:re|ve|ll)) "), re.compile(r"(?<=[^' ])(N'T|'(?:RE|VE|LL)) ")]
-_FUSED = re.compile(
-    r"\b(?:(can)(not)|(d)('ye)|(gim)(me)|(gon)(na)|(got)(ta)|(lem)(me)|(more)('n)|(wan)(na))(?=\s)|(?<=\s)(?:('t)(is)|('t)(was))\b",
-    re.I | A,
-)
+#: Marks that are words of their own, wherever they stand.
+_MARK = re.compile(r"[;@#$%&?!()\[\]{}<>\"]|\.\.\.|--|''|``|[,:](?=[^0-9])")
+_CHUNK = re.compile(r"\S+")
+_CLOSING = "])}>\"'"
+_ENDINGS = ("'",), ("'s", "'S", "'m", "'M", "'d", "'D", "'"), ("'ll", "'re", "'ve", "n't"), ("'LL", "'RE", "'VE", "N'T")
+#: Fused words, and how long their first part is.
+_FUSED = {"cannot": 3, "d'ye": 1, "gimme": 3, "gonna": 3, "gotta": 3, "lemme": 3, "more'n": 4, "wanna": 3, "'tis": 2, "'twas": 2}
+_FUSED_LETTERS = tuple(w for w in _FUSED if w.isalpha())
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -60,29 +50,65 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _cuts(text: str) -> list[int]:
+    """Places in a sentence where a word begins or ends for the sake of a mark."""
+    cuts = [at for m in _MARK.finditer(text) for at in m.span()]
+    # The full stop that ends the sentence, before what closes it.
+    body = text.rstrip()
+    stop = len(body.rstrip(_CLOSING)) - 1
+    if stop > 0 and body[stop] == "." and body[stop - 1] != ".":
+        cuts += [stop, stop + 1]
+    return cuts
+
+
+def _parts(chunk: str) -> list[int]:
+    """Places within a chunk where endings and fused words are cut."""
+    if "'" not in chunk and not chunk.lower().endswith(_FUSED_LETTERS):
+        return []
+    cuts: list[int] = []
+    end = len(chunk)
+    for group in _ENDINGS:
+        for x in group:
+            at = end - len(x)
+            if at > 0 and chunk.endswith(x, 0, end) and chunk[at - 1] != "'":
+                cuts.append(at)
+                end = at
+                break
+    low = chunk[:end].lower()
+    for word, size in _FUSED.items():
+        at = end - len(word)
+        if word[0] == "'":  # begins a chunk
+            after = chunk[len(word) : len(word) + 1]
+            if low.startswith(word) and not (after.isalnum() or after == "_"):
+                cuts += [size, len(word)]
+        elif low.endswith(word) and (not at or not (chunk[at - 1].isalnum() or chunk[at - 1] == "_")):
+            cuts += [at] * (at > 0) + [at + size]
+    return cuts
+
+
+def treebank_spans(sentence: str) -> list[tuple[int, int]]:
+    """Half-open spans of the words of a sentence."""
+    edges = sorted({0, len(sentence), *_cuts(sentence)})
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        for m in _CHUNK.finditer(sentence, a, b):
+            start, end = m.span()
+            if parts := _parts(m[0]):
+                places = sorted({start, end, *(start + x for x in parts)})
+                out += zip(places, places[1:])
+            else:
+                out.append((start, end))
+    return out
+
+
 def treebank(sentence: str) -> list[str]:
     """The words of a sentence."""
-    text = sentence
-    for pattern, new in _STEPS:
-        text = pattern.sub(new, text)
-    text = f" {text} "
-    text = _QUOTES.sub(r" \1 ", text)
-    for pattern in _CLITICS:
-        text = pattern.sub(r" \1 ", text)
-    text = _FUSED.sub(lambda m: " " + " ".join(g for g in m.groups() if g) + " ", text)
-    return text.split()
+    return [sentence[a:b] for a, b in treebank_spans(sentence)]
 
 
 def spans(text: str | None) -> list[tuple[int, int]]:
     """Half-open character spans of the words of a text."""
-    out = []
-    for a, b in sentences(text or ""):
-        part, at = text[a:b], 0
-        for word in treebank(part):
-            s = part.index(word[0], at)
-            at = s + len(word)
-            out.append((a + s, a + at))
-    return out
+    return [(a + x, a + y) for a, b in sentences(text or "") for x, y in treebank_spans(text[a:b])]
 
 
 def words(text: str | None, of: list[tuple[int, int]] | None = None) -> list[str]:

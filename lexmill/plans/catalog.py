@@ -293,7 +293,6 @@ def english_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = [
     *ORACLES,
-    "wiki_clean",
     "english_terms",
     "english_search",
 ]

@@ -1,4 +1,5 @@
 import bz2
+import random
 
 import pytest
 
@@ -27,6 +28,18 @@ def test_words_and_spans():
     assert tokens.words(None) == [] and tokens.words("") == []
 
 
+def test_spans_are_the_words():
+    """No letter is lost: the spans of any text hold all that isn't white space, in order."""
+    rng = random.Random(2)
+    bits = ["a", "can't", "cannot", "dogs'", "it's'", "'tis", ".", " ", ",", ":", "3", '"', "''", "``", "(", ")", "...", "--", "!", "We'll", "DON'T", "U.S.", "'", "gonna", "é", "\n\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        at = tokens.spans(text)
+        assert "".join(text[a:b] for a, b in at) == "".join(text.split())
+        assert all(b <= c for (_, b), (c, _) in zip(at, at[1:]))
+    assert tokens.words("it's' can't:3 x...y 'tis, gonna") == ["it", "'s", "'", "can't:3", "x", "...", "y", "'t", "is", ",", "gon", "na"]
+
+
 def test_sentences():
     text = "He saw Dr. Who. It was late! Was it? yes. 3 came."
     assert [text[a:b] for a, b in tokens.sentences(text)] == ["He saw Dr. Who.", "It was late!", "Was it? yes.", "3 came."]
@@ -53,6 +66,17 @@ def test_normalise():
         ("a....... b,, c", "a... b, c"),
         ("&amp;eacute; &#233; &#xe9; &bogus;", "é é é &bogus;"),
         ("<div><b>x</b></div>", "x"),
+        ("{{never closed", "{{never closed"),
+        ("x{{a}} b {{c {{d}} e", "x b e"),
+        ("y[[a:b|c]] [[w:d]] [[x|]]", "y w:d x"),
+        ("see [one two three] [word]", "see two three"),
+        ("''\"said\"'' and \"\"twice\"\"", '"said" and twice'),
+        ("'''''both''''' '''bold", "both bold"),
+        ("<math>a</math> <math>a</math> <math>c</math>", "formula_1 formula_1 formula_3"),
+        ("<ref name=x/>a<references />b<br>c", "ab<br>c"),
+        ("<TABLE a=b>x</Table >y</table>z", "z"),
+        ("a\n--\nb\n preformatted\nc", "a\nb\n\nc"),
+        ("<< x >>\ty  z", "« x » y z"),
     ],
 )
 def test_clean(raw, want):
