@@ -17,6 +17,8 @@ def new_folder(spark: SparkSession) -> str:
     """A new path in the folder that spark.checkpoint.dir names, or in our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="lexmill-")

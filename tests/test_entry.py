@@ -29,11 +29,14 @@ def test_equals_sql(spark, sf, name):
     assert mine == theirs
 
 
-def test_works_without_the_training_data_folder(tmp_path):
-    """The entry module imports, and names the engine's queries, where the llm folder is gone."""
+@pytest.mark.parametrize("pipeline_left", [False, True])
+def test_works_without_the_training_data_folder(tmp_path, pipeline_left):
+    """The entry module imports, and names the engine's queries, where the llm folder is gone, whether
+    or not the pipeline's file went with it."""
     import shutil
 
     shutil.copytree(ROOT / "lexmill", tmp_path / "lexmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'ranked_topk' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q"
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * (pipeline_left and (ROOT / "corpus_pipeline.py").exists())]:
+        shutil.copy(ROOT / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'ranked_topk' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
