@@ -14,14 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import spread
+
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset and all
+    tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="lexmill-")
@@ -92,7 +97,8 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one so small that it may be one task's is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,14 +108,12 @@ def held_out(doc_id: Column) -> Column:
 
 def bounded_sample(df: DataFrame, label: str, per_label: int) -> DataFrame:
     """About per_label rows of each label, chosen by a hash of doc_id, so that the same rows come at
-    every run. The counts are of all rows; only the kept rows go on. Labels are few (languages,
-    grades): their counts, one row a label, are collected."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    every run. The counts are of all rows and stay in a table, one row a label; only the kept rows go
+    on: as many as per_label times the labels there are."""
+    counts = materialise(df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")), "label-counts")
     u = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (u < F.lit(min(1.0, per_label / n))))
-    return df.filter(keep)
+    marked = df.join(small_side(counts), F.col(label) == F.col("_label"))
+    return marked.filter(u < F.lit(per_label) / F.col("_n")).drop("_label", "_n")
 
 
 # --- words as hashes ---
@@ -140,15 +144,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        one = np.ones(size, np.uint64)
-        _powers[:] = []
-        for r in (_R, _R_INV):
-            t = one.copy()
-            t[1:] = r
-            _powers.append(np.multiply.accumulate(t))
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse. Those for longer texts than a chunk aren't kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for r in (_R, _R_INV):
+        t = np.ones(max(n, CHUNK + 2), np.uint64)
+        t[1:] = r
+        made.append(np.multiply.accumulate(t))
+    if len(made[0]) == CHUNK + 2:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def text_chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:

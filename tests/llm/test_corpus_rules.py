@@ -346,6 +346,26 @@ def test_pipeline(spark, tmp_path):
     assert final == kept[3]
 
 
+def test_pipeline_over_odd_documents(odd, none, spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns; and an empty table."""
+    import corpus_pipeline as C
+
+    for name, docs in (("odd", odd.filter("doc_id is null or doc_id <> 106")), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in C.STAGES:
+            out = C.materialise(f(spark, at, f"{tmp_path}/{name}"), "odd")
+            if stage != C.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                assert Counter(r.doc_id for r in out.select("doc_id").collect()) <= Counter(r.doc_id for r in at.select("doc_id").collect())
+                at = out
+        ids = {r.doc_id for r in out.collect()}
+        assert (name == "none") == (not ids)
+        if name == "odd":
+            assert 3 in ids and 105 in ids and not ids & {100, 101, 102, 103, 104, 107, 108, 109}
+
+
 def test_sampled_rows_are_the_same_at_every_run(spark):
     from lexmill.llm.common import bounded_sample
 
