@@ -61,7 +61,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import url_filter
 
-    return url_filter(read_table(spark, sf_dir, "pages"))
+    return url_filter(read_table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1, "op4_chat": _op4()}
+    return {"op1_near_dedup": OP1, "op4_chat": _op4(), "op8_url_filter": _op8()}
 
 
 #: All pairs that share a shingle, then reachability.
@@ -124,3 +124,56 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum({marks} + length({escaped('role')}) + length({escaped('text')})) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+
+def _op8() -> str:
+    """Rules, the words of all pages, the likeliest split of each host by dynamic programming, and naive
+    Bayes over all tokens of the URLs that the rules decide."""
+    from . import url_filter as U
+
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"({k}, '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for k, (r, v) in enumerate(U.RULES))
+    letter = r"[\p{L}\p{Nl}\p{No}]"
+    return rf"""
+WITH RECURSIVE u AS (
+    SELECT row_number() OVER () AS r, page_id, {lower("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+rules AS (SELECT * FROM (VALUES {rules}) AS x(k, rule, h, p, verdict)),
+ruled AS (SELECT r, arg_max(rule, (length(rule), -k)) AS rule, arg_max(verdict, (length(rule), -k)) AS decided
+    FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+seen AS (SELECT lower(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^<>]*>|&#?\w+;', ' ', 'g')) AS t FROM pages),
+lex AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '{letter}+')) AS w FROM seen) GROUP BY w),
+whole AS (SELECT sum(n) AS total FROM lex),
+hosts AS (SELECT DISTINCT host FROM u),
+runs AS (SELECT host, i, list_extract(x, i) AS run FROM (SELECT host, regexp_extract_all(lower(host), '\p{{Nd}}+|{letter}+') AS x FROM hosts), unnest(range(1, len(x) + 1)) AS t(i)),
+names AS (SELECT DISTINCT run AS name FROM runs WHERE NOT regexp_matches(run, '^\p{{Nd}}')),
+parts AS (SELECT name, e, s, substr(name, s + 1, e - s) AS w FROM names, unnest(range(1, length(name) + 1)) AS a(e), unnest(range(0, e)) AS b(s)),
+costs AS (SELECT name, list(coalesce(ln(n / total), ln(1 / total) - 1 - 2.3::DOUBLE * length(p.w)) ORDER BY e, s) AS c
+    FROM parts p LEFT JOIN lex ON lex.w = p.w, whole GROUP BY name),
+walk AS (
+    SELECT name, 0 AS e, [0.0::DOUBLE] AS best, CAST([] AS BIGINT[]) AS back FROM costs
+    UNION ALL
+    SELECT name, e, list_append(best, list_max(x)), list_append(back, len(x) - list_position(list_reverse(x), list_max(x)))
+    FROM (SELECT k.name, k.e + 1 AS e, best, back, list_transform(range(0, k.e + 1), lambda s: best[s + 1] + c[k.e * (k.e + 1) // 2 + s + 1]) AS x
+        FROM walk k JOIN costs USING (name) WHERE k.e < length(k.name))),
+track AS (
+    SELECT name, e, back, back[e] AS s FROM walk WHERE e = length(name) AND e > 0
+    UNION ALL
+    SELECT name, s, back, back[s] FROM track WHERE s > 0),
+split AS (SELECT name, list(substr(name, s + 1, e - s) ORDER BY s) AS words FROM track GROUP BY name),
+host_tokens AS (
+    SELECT host, i, 0 AS j, 'h:#' || length(run) AS token FROM runs WHERE regexp_matches(run, '^\p{{Nd}}')
+    UNION ALL
+    SELECT host, i, j, 'h:' || words[j] FROM runs JOIN split ON run = name, unnest(range(1, len(words) + 1)) AS t(j)),
+path_tokens AS (SELECT r, CASE WHEN regexp_matches(x, '^\p{{Nd}}') THEN 'p:#' || length(x) ELSE 'p:' || x END AS token
+    FROM (SELECT r, unnest(regexp_extract_all(lower(path), '\p{{Nd}}+|{letter}+')) AS x FROM u)),
+tokens AS (SELECT r, token FROM path_tokens UNION ALL SELECT r, token FROM u JOIN host_tokens USING (host)),
+counts AS (SELECT token, count(*) FILTER (decided = 'allow') AS a, count(*) FILTER (decided = 'block') AS b FROM tokens JOIN ruled USING (r) GROUP BY token),
+sums AS (SELECT count(*) AS v, sum(a) AS a, sum(b) AS b FROM counts),
+odds AS (SELECT token, ln((c.b + 1) / (s.b + v)) - ln((c.a + 1) / (s.a + v)) AS odds FROM counts c, sums s),
+prior AS (SELECT ln(count(*) FILTER (decided = 'block') / count(*) FILTER (decided = 'allow')) AS prior FROM ruled),
+scores AS (SELECT r, sum(odds) AS score FROM tokens JOIN odds USING (token) GROUP BY r),
+named AS (SELECT host, string_agg(substr(token, 3), ' ' ORDER BY i, j) AS words FROM host_tokens GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN prior + coalesce(score, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+    coalesce(words, '') AS words, round(prior + coalesce(score, 0), 6) AS score
+FROM u LEFT JOIN ruled USING (r) LEFT JOIN scores USING (r) LEFT JOIN named USING (host), prior"""

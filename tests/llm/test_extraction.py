@@ -379,15 +379,15 @@ def test_conversations(spark):
     assert C.digests(C.format_conversations(df.limit(0))).isEmpty()
 
 
-def test_op4_equals_sql(spark, sf):
+@pytest.mark.parametrize("name", ["op4_chat", "op8_url_filter"])
+def test_queries_equal_sql(spark, sf, name):
     import duckdb
 
-    from lexmill.llm.queries import op4_chat, oracle_sql
+    from lexmill.llm import queries as Q
 
     db = duckdb.connect()
-    db.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
-    want = db.sql(oracle_sql()["op4_chat"])
-    cols = list(want.columns)
-    assert sorted(map(tuple, op4_chat(spark, sf).select(*cols).collect())) == sorted(want.fetchall())
-
-
+    for table in ("conversations", "pages"):
+        db.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    want = db.sql(Q.oracle_sql()[name])
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, Q.queries()[name](spark, sf).select(*want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)
