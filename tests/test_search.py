@@ -107,6 +107,39 @@ def test_snippets(spark):
     assert r.parts[0].startswith("w0 w1 w2 {w3} w4") and r.parts[1].endswith("w59.")
 
 
+def test_english_ranking_equals_brute_force(spark):
+    """Stems, positions and scores of the full analyser, counted by hand from its words."""
+    from lexmill.functions import normalise, tokens
+
+    texts = ["The runner's dogs aren't running home. They ran; dogs run!", "A dog runs home (quickly).", "Cats & dogs don't mix: cats hide.", "Running shoes, running tracks..."]
+    docs = [(f"d{k}", t.split(".")[0], t) for k, t in enumerate(texts)]
+    index = Index.build(spark.createDataFrame(docs, "doc string, title string, text string"), "english")
+    want = {}
+    for d, title, text in docs:
+        for sign, t in ((-1, title), (1, text)):
+            for i, term in normalise.normalise(tokens.words(t)):
+                want.setdefault((term, d), []).append(i if sign > 0 else -1 - i)
+    assert {(r.term, r.doc): r.positions for r in index.postings.collect()} == want
+    size = {d: len(tokens.words(t)) for d, _, t in docs}
+    avg, n = sum(size.values()) // len(docs), len(docs)
+    for query in ("running dogs", "home", "cats"):
+        asked = [w.lower() for w in tokens.words(query)]
+        keys = sorted(set(normalise.normalise_drop(asked)))
+        scores = {}
+        for d, title, _ in docs:
+            if all((k, d) in want for k in keys):
+                s = 0.0
+                for k in keys:
+                    df, f = sum((k, e) in want for e in size), len(want[k, d]) / size[d]
+                    s += max(0.4, math.log((n - df + 0.5) / (df + 0.5))) * f * 2.6 / (f + 1.6 * (0.25 + 0.75 * size[d] / avg))
+                head = [w.lower() for w in tokens.words(title)]
+                both = len(set(asked) & set(head))
+                scores[d] = s + 10 * both / (len(set(asked)) + len(head) - both) + 10 * len(set(keys) & set(normalise.normalise_drop(tokens.words(title)))) / len(keys)
+        got = [(r.doc, r.score) for r in search.search_one(query, index).orderBy("rank").collect()]
+        assert [d for d, _ in got] == [d for d, _ in sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))]
+        assert all(abs(s - scores[d]) < 2e-6 for d, s in got)
+
+
 def test_english(spark):
     docs = spark.createDataFrame([("a", "Running shoes", "He runs. They ran quickly & well."), ("b", "", None)], "doc string, title string, text string")
     index = Index.build(docs, "english")
