@@ -34,6 +34,13 @@ def merge_postings(*parts: DataFrame) -> DataFrame:
     return merged.select("term", "doc", in_order(F.col("p")).alias("positions"), F.size("p").alias("tf"))
 
 
+def batched(posts: DataFrame, batch: Column) -> DataFrame:
+    """batch, term, parts: the postings of a term in a batch of documents as one record. A batch holds a
+    bounded number of documents, and so does a record, however frequent its term is."""
+    part = F.struct("doc", "positions")
+    return posts.groupBy(batch.alias("batch"), "term").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+
 def articles(analysed: DataFrame) -> DataFrame:
     """The documents with their size (all body words) and greatest term frequency; documents without
     an indexed word are left out."""

@@ -54,6 +54,17 @@ def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(postings.postings(_analysed(spark, sf_dir)))
 
 
+BATCH = 50
+
+
+def postings_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index records: a term's postings per batch of 50 documents."""
+    posts = postings.postings(_analysed(spark, sf_dir))
+    rows = postings.batched(posts, F.floor(F.col("doc").cast("long") / BATCH))
+    docs = F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["doc"], F.size(x["positions"]).cast("string"))), " ")
+    return rows.select("batch", "term", F.size("parts").cast("long").alias("n_docs"), docs.alias("docs"))
+
+
 def postings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built in two batches and merged on read."""
     docs = corpus.documents(spark, sf_dir)

@@ -165,6 +165,9 @@ ORACLES: dict[str, str] = {
     "article_filters": _FILTERED,
     "tokens_posexplode": sql("SELECT doc, pos, term FROM kept", DOCS, TOKENS),
     "postings_build": sql(_POSTINGS, DOCS, TOKENS),
+    "postings_batches": sql(
+        "SELECT CAST(floor(CAST(doc AS BIGINT) / 50) AS BIGINT) AS batch, term, count(*) AS n_docs, string_agg(doc || ':' || tf, ' ' ORDER BY doc) AS docs FROM post GROUP BY ALL", DOCS, TOKENS
+    ),
     "postings_merge": sql(_POSTINGS, DOCS, TOKENS),
     "streaming_ingest": sql(_POSTINGS, DOCS, TOKENS),
     "doc_stats": sql("SELECT doc, size, maxf FROM art", DOCS, TOKENS),
