@@ -157,16 +157,6 @@ class Items:
         weight = np.bincount(self.holders[1][place], weights=(self.weights[at] * n)[which], minlength=len(self.ids))
         return np.flatnonzero(weight >= SIMILARITY * self.totals - 1e-9)
 
-    def similarity(self, window: np.ndarray, item: int) -> float:
-        """Weighted Jaccard similarity of the bags of a window's shingles and an item's."""
-        mine, n = np.unique(window, return_counts=True)
-        theirs, m = self.bags[item]
-        at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-        w = self.weigh(mine)
-        both = (w * np.where(theirs[at] == mine, np.minimum(n, m[at]), 0)).sum()
-        whole = (np.where(w > 0, w, self.rare) * n).sum()
-        return float(both / (whole + self.totals[item] - both))
-
 
 def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, similarity, distance, first word, words) of each text's best window per item."""
@@ -196,7 +186,7 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, i
         gain = np.where(weight > 0, weight, -SIMILARITY * items.rare)
         gain[(last == np.arange(len(h))) & (n_words[doc] > 1)] = 0
         total = np.concatenate(([0.0], np.cumsum(gain)))
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: list[np.ndarray] = []  # document, length, first shingle, end
         for length in lengths:
             floor = SIMILARITY * items.least[length] - 1e-9
             span = max(1, length - 1)  # shingles of a window
@@ -204,17 +194,17 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, i
             if n > 0:
                 s = np.flatnonzero(total[span : span + n] - total[:n] >= floor)
                 s = s[s + length - 1 <= last[s]]
-                for x in s:
-                    found.setdefault(int(doc[x]), []).append((length, int(x), int(x) + span))
+                found.append(np.column_stack([doc[s], np.full(len(s), length), s, s + span]))
             short = np.flatnonzero((n_words < length) & (n_words > 0))
             if len(short):
                 a, b = words.first[short], words.first[short + 1]
-                for d in short[total[b] - total[a] >= floor]:
-                    x, y = int(words.first[d]), int(words.first[d + 1])
-                    found.setdefault(int(d), []).append((length, x, max(x + 1, y - 1)))
-        for d, windows in found.items():
-            best: dict[int, tuple] = {}
-            for part in _clusters(windows):
+                ok = total[b] - total[a] >= floor
+                found.append(np.column_stack([short[ok], np.full(int(ok.sum()), length), a[ok], np.maximum(a[ok] + 1, b[ok] - 1)]))
+        w = np.concatenate(found).astype(np.int64) if found else np.empty((0, 4), np.int64)
+        w = w[np.argsort(w[:, 0], kind="stable")]
+        for windows in np.split(w, np.flatnonzero(np.diff(w[:, 0])) + 1) if len(w) else ():
+            d, best = int(windows[0, 0]), {}
+            for part in _clusters(windows[:, 1:]):
                 for i, *r in _verify(items, sh, weight, part, int(words.first[d]), int(n_words[d])):
                     if i not in best or r[0] > best[i][0]:
                         best[i] = tuple(r)
@@ -225,9 +215,8 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, i
 _CLUSTER = 20_000
 
 
-def _clusters(windows: list[tuple[int, int, int]]) -> Iterator[np.ndarray]:
+def _clusters(w: np.ndarray) -> Iterator[np.ndarray]:
     """(length, first shingle, end) of windows, in runs that overlap; long runs in parts."""
-    w = np.array(windows, np.int64)
     w = w[np.lexsort((w[:, 0], w[:, 1]))]
     ends = np.maximum.accumulate(w[:, 2])
     cut = np.flatnonzero(w[1:, 1] > ends[:-1]) + 1
@@ -237,11 +226,16 @@ def _clusters(windows: list[tuple[int, int, int]]) -> Iterator[np.ndarray]:
 
 def _verify(items: Items, sh: np.ndarray, weight: np.ndarray, w: np.ndarray, base: int, n_words: int) -> Iterator[tuple]:
     """(item, similarity, distance, first word, words): the best of the windows for each item."""
+    # An item of which the windows together hold too little can't be like one of them.
+    possible = items.held(sh[w[:, 1].min() : w[:, 2].max()])
+    w = w[np.isin(w[:, 0], items.n_words[possible])]
+    if not len(w):
+        return
     lo, hi = w[:, 1].min(), w[:, 2].max()
     part = sh[lo:hi]
-    own = np.where(weight[lo:hi] > 0, weight[lo:hi], items.rare).astype(np.float32)
+    own = np.where(weight[lo:hi] > 0, weight[lo:hi], items.rare)
     run = np.zeros((len(part) + 1, 64), np.float64)
-    np.cumsum(signs(part) * own[:, None], axis=0, dtype=np.float64, out=run[1:])
+    np.cumsum(signs(part) * own[:, None], axis=0, out=run[1:])
     whole = np.concatenate(([0.0], np.cumsum(own, dtype=np.float64)))
     prints = np.concatenate([pack_bits(run[b[:, 2] - lo] - run[b[:, 1] - lo]) for b in np.split(w, range(4096, len(w), 4096))])
     # Within the radius, by the buckets; an item meets windows of its own length only.
@@ -249,24 +243,28 @@ def _verify(items: Items, sh: np.ndarray, weight: np.ndarray, w: np.ndarray, bas
     near: dict[int, list[int]] = {}
     for k, i in zip(at[w[at, 0] == items.n_words[item]].tolist(), item[w[at, 0] == items.n_words[item]].tolist()):
         near.setdefault(i, []).append(k)
-    for i in np.union1d(items.held(part), np.array(sorted(near), np.int64)).tolist():
+    for i in possible.tolist():
         mine = np.flatnonzero(w[:, 0] == items.n_words[i])
         if not len(mine):
             continue
         # The item's own shingles in a window bound its similarity once more; windows within the
         # radius go first, the likeliest before the others, and what can't beat the best is left out.
-        theirs = items.bags[i][0]
+        theirs, count = items.bags[i]
         place = np.minimum(np.searchsorted(theirs, part), len(theirs) - 1)
-        held = np.concatenate(([0.0], np.cumsum(np.where(theirs[place] == part, own, 0), dtype=np.float64)))
+        place = np.where(theirs[place] == part, place, len(theirs))
+        worth = items.weights[np.searchsorted(items.known, theirs)]
+        held = np.concatenate(([0.0], np.cumsum(np.where(place < len(theirs), own, 0), dtype=np.float64)))
         x, y = w[mine, 1] - lo, w[mine, 2] - lo
         most = np.minimum(held[y] - held[x], items.totals[i])
-        bound = most / (whole[y] - whole[x] + items.totals[i] - most) + 1e-5
+        bound = most / (whole[y] - whole[x] + items.totals[i] - most) + 1e-9
         best: tuple[float, int] | None = None
         for chosen in (np.isin(mine, near.get(i, [])), np.ones(len(mine), bool)):
             for k in np.flatnonzero(chosen)[np.lexsort((mine[chosen], -bound[chosen]))]:
-                if bound[k] < SIMILARITY or best and bound[k] <= best[0]:
+                if bound[k] < SIMILARITY or best and bound[k] <= best[0] + 2e-9:
                     break
-                s = items.similarity(sh[w[mine[k], 1] : w[mine[k], 2]], i)
+                # Weighted Jaccard similarity of the bags of the window's shingles and the item's.
+                both = float((worth * np.minimum(np.bincount(place[x[k] : y[k]], minlength=len(theirs) + 1)[:-1], count)).sum())
+                s = both / float(whole[y[k]] - whole[x[k]] + items.totals[i] - both)
                 if s >= SIMILARITY and (best is None or s > best[0]):
                     best = (s, int(mine[k]))
         if best:
