@@ -113,23 +113,19 @@ def test_distances_equal_brute_force_and_outliers_go(spark):
     assert tiny and all(out[i].distance is not None for i in tiny)
 
 
-def test_estimates_do_not_depend_on_partitions(spark):
-    rows = [(i, prose(i, 40 + i % 90) + " #" * (i % 7), "en", f"s{i % 3}") for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    one, many = ({r.doc_id: r.distance for r in R.quality_rules(docs.repartition(n)).collect()} for n in (1, 7))
-    assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-6, abs=1e-9) for i in one)
-
-
-def test_wide_tables_of_groups_are_joined(spark, monkeypatch):
-    rows = [(i, prose(i, 40 + i % 90), "en", f"s{i % 3}") for i in range(150)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    want = {r.doc_id: r.distance for r in R.quality_rules(docs).collect()}
-    monkeypatch.setattr(R, "BROADCAST_ROWS", 5)
+def test_estimates_depend_neither_on_partitions_nor_on_joins(spark, monkeypatch):
     from lexmill.llm import common
 
+    monkeypatch.setattr(R, "MOST_STEPS", 1)
+    monkeypatch.setattr(R, "STARTS", 2)
+    rows = [(i, prose(i, 40 + i % 90) + " #" * (i % 7), "en", f"s{i % 3}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {r.doc_id: r.distance for r in R.quality_rules(docs.repartition(1)).collect()}
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 5)  # estimates are joined, hot groups salted
     monkeypatch.setattr(common, "HOT_ROWS", 60)
-    got = {r.doc_id: r.distance for r in R.quality_rules(docs).collect()}
-    assert all(want[i] == pytest.approx(got[i], rel=1e-6, abs=1e-9) for i in want)
+    monkeypatch.setattr(common, "SALTS", 3)
+    got = {r.doc_id: r.distance for r in R.quality_rules(docs.repartition(7)).collect()}
+    assert want.keys() == got.keys() and all(want[i] == pytest.approx(got[i], rel=1e-6, abs=1e-9) for i in want)
 
 
 # --- decontamination ---
