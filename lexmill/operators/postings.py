@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved, small
+
 
 def token_rows(analysed: DataFrame) -> DataFrame:
     """doc, pos, term: a row for every indexed word of title and body."""
@@ -25,26 +27,34 @@ def postings(analysed: DataFrame) -> DataFrame:
     return rows.select("p.term", "doc", "p.positions", F.size("p.positions").alias("tf"))
 
 
-def merge_postings(*parts: DataFrame) -> DataFrame:
-    """Postings of several batches as one: positions of a term and document are united."""
+def merge_postings(*parts: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Postings of several batches as one: positions of a term and document are united. docs: doc, a row
+    for each time that a batch holds a document; then only documents with several are brought together."""
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    if docs is not None:
+        again = saved(docs.groupBy("doc").count().filter("count > 1").select("doc"))
+        if again.isEmpty():
+            return rows.select("term", "doc", "positions", "tf")
+        again = small(again)
+        alone = rows.join(again, "doc", "left_anti").select("term", "doc", "positions", "tf")
+        return alone.unionByName(merge_postings(rows.join(again, "doc", "left_semi")))
     merged = rows.groupBy("term", "doc").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("p"))
     return merged.select("term", "doc", in_order(F.col("p")).alias("positions"), F.size("p").alias("tf"))
 
 
-def batched(posts: DataFrame, batch: Column) -> DataFrame:
-    """batch, term, parts: the postings of a term in a batch of documents as one record. A batch holds a
+def batched(posts: DataFrame, batch: Column, *held: str) -> DataFrame:
+    """batch, term, parts (doc and the columns held, or else positions): the postings of a term in a batch of documents as one record. A batch holds a
     bounded number of documents, and so does a record, however frequent its term is."""
-    part = F.struct("doc", "positions")
+    part = F.struct("doc", *(held or ("positions",)))
     return posts.groupBy(batch.alias("batch"), "term").agg(F.array_sort(F.collect_list(part)).alias("parts"))
 
 
 def articles(analysed: DataFrame) -> DataFrame:
     """The documents with their size (all body words) and greatest term frequency; documents without
     an indexed word are left out."""
-    return analysed.filter(F.size("posts") > 0).drop("posts", "surface")
+    return analysed.filter("maxf > 0").drop("posts", "surface")
 
 
 def corpus_stats(arts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import STOPWORDS
-from ..sources.scratch import saved
+from ..sources.scratch import saved, small
 from . import analysis, postings
 from .fuzzy import Keys, fuzzy_lookup, tiers
 
@@ -109,21 +109,45 @@ class Ranking:
     corrected: DataFrame
     sets: DataFrame
     keys: DataFrame
-    hits: DataFrame  # query_id, key, doc, tf, positions
+    df: DataFrame  # query_id, key, df: the keys with postings
+    hits: DataFrame  # query_id, key, doc, tf, positions: in the documents that match the rarest set
     matched: DataFrame  # query_id, doc: documents that match every set
+    articles: DataFrame  # the matched documents
     scores: DataFrame  # query_id, doc, score, rank
 
 
 def search(queries: DataFrame, index: Index, top: int | None = None, skip: int = 0) -> Ranking:
-    """Rank the documents for every query; top and skip choose a page of results."""
+    """Rank the documents for every query; top and skip choose a page of results. A document must hold
+    a key of each set, so it is one of those of the set with the fewest postings: only in these are
+    other keys looked up, and the postings of frequent keys are read but neither multiplied by the
+    queries nor moved."""
     words = saved(query_words(queries, index.analyser))
     corrected = saved(correct(words, index.keys))
     sets = saved(query_sets(words, corrected, index.analyser))
     keys = saved(matched_keys(sets, index.keys))
     posts = index.postings.select(F.col("term").alias("key"), "doc", "tf", "positions")
-    hits = saved(keys.select("query_id", "key").distinct().join(posts, "key"))
+    asked = saved(keys.select("query_id", "key").distinct())
+    names = small(saved(asked.select("key").distinct()))
+    counted = names.join(posts.select("key"), "key").groupBy("key").agg(F.count("*").alias("df"))
+    df = saved(asked.join(counted, "key"))
+    rarest = small(saved(rarest_sets(sets, keys, df)))
+    near = saved(rarest.join(posts.select("key", "doc"), "key").select("query_id", "doc").distinct())
+    docs = small(saved(near.select("doc").distinct()))
+    rows = posts.join(names, "key", "left_semi").join(docs, "doc", "left_semi")
+    hits = saved(rows.join(small(asked), "key").join(small(near), ["query_id", "doc"], "left_semi"))
     matched = saved(matching(sets, keys, hits))
-    return Ranking(words, corrected, sets, keys, hits, matched, rank(words, corrected, hits, matched, index, top, skip))
+    arts = saved(index.articles.join(small(saved(matched.select("doc").distinct())), "doc", "left_semi"))
+    scores = rank(words, corrected, df, hits, matched, arts, index.stats, top, skip)
+    return Ranking(words, corrected, sets, keys, df, hits, matched, arts, scores)
+
+
+def rarest_sets(sets: DataFrame, keys: DataFrame, df: DataFrame) -> DataFrame:
+    """query_id, key: the keys of each query's set with the fewest postings. A query with a set that has
+    none matches nothing and is left out."""
+    sizes = keys.join(df, ["query_id", "key"]).groupBy("query_id", "terms").agg(F.sum("df").alias("n"))
+    every = sets.join(sizes, ["query_id", "terms"], "left").groupBy("query_id")
+    least = every.agg(F.min_by("terms", F.struct("n", "terms")).alias("terms"), F.count("*").alias("all"), F.count("n").alias("held"))
+    return keys.join(least.filter("all = held").select("query_id", "terms"), ["query_id", "terms"]).select("query_id", "key").distinct()
 
 
 def matching(sets: DataFrame, keys: DataFrame, hits: DataFrame) -> DataFrame:
@@ -133,10 +157,8 @@ def matching(sets: DataFrame, keys: DataFrame, hits: DataFrame) -> DataFrame:
     return held.join(need, "query_id").filter("n = n_sets").select("query_id", "doc")
 
 
-def text_scores(hits: DataFrame, matched: DataFrame, arts: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, doc, text_score, n_keys. A key and a document meet in one hit, so counting rows counts
-    documents."""
-    df = hits.groupBy("query_id", "key").agg(F.count("*").alias("df"))
+def text_scores(df: DataFrame, hits: DataFrame, matched: DataFrame, arts: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, doc, text_score, n_keys."""
     n_keys = df.groupBy("query_id").agg(F.count("*").alias("n_keys"))
     one = F.broadcast(stats)  # a single row
     rows = hits.join(matched, ["query_id", "doc"]).join(df, ["query_id", "key"]).join(arts.select("doc", "size").filter("size > 0"), "doc").crossJoin(one)
@@ -146,11 +168,11 @@ def text_scores(hits: DataFrame, matched: DataFrame, arts: DataFrame, stats: Dat
     return score.join(n_keys, "query_id")
 
 
-def title_boosts(words: DataFrame, corrected: DataFrame, hits: DataFrame, matched: DataFrame, arts: DataFrame) -> DataFrame:
+def title_boosts(words: DataFrame, corrected: DataFrame, df: DataFrame, matched: DataFrame, arts: DataFrame) -> DataFrame:
     """query_id, doc, boost_words, boost_keys: ten times the share of query words among title words
     and ten times the share of matched keys among title terms."""
     q = words.join(corrected, "word").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("alternatives"))).alias("q"))
-    keys = hits.groupBy("query_id").agg(F.collect_set("key").alias("keys"))
+    keys = df.groupBy("query_id").agg(F.collect_set("key").alias("keys"))
     titled = arts.select("doc", F.transform("title_words", F.lower).alias("t"), F.transform("title_terms", lambda x: x["term"]).alias("tt"))
     rows = matched.join(titled, "doc").join(q, "query_id").join(keys, "query_id")
     both = F.size(F.array_intersect("q", "t"))
@@ -162,9 +184,9 @@ def title_boosts(words: DataFrame, corrected: DataFrame, hits: DataFrame, matche
     )
 
 
-def rank(words, corrected, hits, matched, index: Index, top: int | None = None, skip: int = 0) -> DataFrame:
-    text = text_scores(hits, matched, index.articles, index.stats)
-    boosts = title_boosts(words, corrected, hits, matched, index.articles)
+def rank(words, corrected, df, hits, matched, arts: DataFrame, stats: DataFrame, top: int | None = None, skip: int = 0) -> DataFrame:
+    text = text_scores(df, hits, matched, arts, stats)
+    boosts = title_boosts(words, corrected, df, matched, arts)
     score = F.round(F.col("text_score") + F.col("boost_words") + F.col("boost_keys"), 6)
     rows = text.join(boosts, ["query_id", "doc"]).select("query_id", "doc", score.alias("score"))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")))
